@@ -51,10 +51,11 @@ def _variants(spark: SparkSession, words: DataFrame) -> DataFrame:
           SELECT replace(replace(w, 'oe', 'e'), 'ae', 'e'), kind, ident, abbreviable FROM base
         ), every AS (
           SELECT w AS term, kind, ident, 0D AS cost,
-            CASE WHEN length(w) >= 6 THEN 2 WHEN length(w) >= 4 THEN 1 ELSE 0 END AS k FROM spelt
+            CASE WHEN length(w) >= 6 AND kind <> 'pair' THEN 2 WHEN length(w) >= 4 THEN 1 ELSE 0 END AS k FROM spelt
           UNION ALL  -- neighbouring letters swapped
           SELECT concat(substr(w, 1, i - 1), substr(w, i + 1, 1), substr(w, i, 1), substr(w, i + 2)), kind, ident, 1D, 0
-          FROM spelt LATERAL VIEW explode(sequence(1, greatest(length(w) - 1, 1))) AS i WHERE kind <> 'other'
+          FROM spelt LATERAL VIEW explode(sequence(1, greatest(length(w) - 1, 1))) AS i
+          WHERE kind IN ('first', 'second')
           UNION ALL  -- cut short
           SELECT substr(w, 1, i), kind, ident, 0.6D, CASE WHEN i >= 6 THEN 1 ELSE 0 END
           FROM spelt LATERAL VIEW explode(sequence(abbreviable, length(w))) AS i
@@ -272,9 +273,13 @@ def link(
         sided = per_text.withColumn("seconds", F.expr("filter(hits, h -> h.kind = 'second')"))
     linked = spark.sql(
         """
-        WITH both AS (
-          SELECT tid, f.ident AS first, f.cost AS fcost, s.ident AS second, s.cost AS scost FROM {sided}
-          LATERAL VIEW explode(filter(hits, h -> h.kind = 'first')) AS f
+        WITH near AS (  -- far-fetched readings of other words don't compete with a close one
+          SELECT tid, hits, filter(firsts, f -> f.cost <= array_min(transform(firsts, x -> x.cost)) + 0.75D) AS firsts,
+            filter(seconds, f -> f.cost <= array_min(transform(seconds, x -> x.cost)) + 0.75D) AS seconds
+          FROM (SELECT tid, hits, seconds, filter(hits, h -> h.kind = 'first') AS firsts FROM {sided})
+        ), both AS (
+          SELECT tid, f.ident AS first, f.cost AS fcost, s.ident AS second, s.cost AS scost FROM near
+          LATERAL VIEW explode(firsts) AS f
           LATERAL VIEW explode(seconds) AS s
         ), scored AS (
           SELECT tid, p.concept_id, fcost + scost AS cost

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import linking
+from wardloom.llm import linking, neighbours
 from wardloom.plans.tables import table
 
 
@@ -37,5 +37,26 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched)}
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "pgvector_backend"), "concept_id", "embedding", dim=48, k=5)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        _neighbours(spark, d)
+        .select(
+            F.least("id", "neighbour").alias("concept_id_a"), F.greatest("id", "neighbour").alias("concept_id_b")
+        )
+        .distinct()
+    )
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar concepts of every concept, with their similarity."""
+    return _neighbours(spark, d).select(
+        F.col("id").alias("concept_id"), F.col("neighbour").alias("neighbour_id"), F.round("sim", 5).alias("cosine")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours)}
 ORACLE: dict[str, str] = {}
