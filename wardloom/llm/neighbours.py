@@ -25,7 +25,7 @@ SAMPLE = 60_000  # vectors the tree is fitted on, at most
 MAX_LEAVES = 8192
 LEAF_ROWS = 400  # rows a leaf should hold, while MAX_LEAVES allows
 BLOCK_ROWS = 8192  # rows a block holds, about
-PROBES = 400  # sample queries for calibration
+PROBES = 600  # sample queries for calibration
 ROUND = 7  # digits to which similarities are compared
 
 
@@ -79,30 +79,51 @@ class Tree:
                 parts.append(c)
                 owner.append(np.full(len(c), b))
         self.leaves, self.owner = np.vstack(parts), np.concatenate(owner)
-        self.slack = np.float32(0)
+        self.slack, self.reach = np.float32(0), np.float32(np.inf)
 
     @staticmethod
     def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)
 
-    def distances(self, x: np.ndarray, reach: float | None = None) -> np.ndarray:
+    def distances(self, x: np.ndarray) -> np.ndarray:
         """Distance to every leaf centre.
 
-        With ``reach``, branches are opened best first and those farther than
-        the nearest by more than ``reach`` stay closed: their leaves are
-        infinitely far.
+        Branches are opened best first; those farther than the nearest by more
+        than ``reach`` stay closed: their leaves are infinitely far.
         """
         x = x.astype(np.float32)
-        if reach is None:
-            return np.sqrt(self._squares(x, self.leaves))
         to_branch = np.sqrt(self._squares(x, self.branches))
-        opened = to_branch <= to_branch.min(1, keepdims=True) + reach
+        opened = to_branch <= to_branch.min(1, keepdims=True) + self.reach
+        if opened.mean() > 0.5:
+            out = np.sqrt(self._squares(x, self.leaves))
+            out[~opened[:, self.owner]] = np.inf
+            return out
         out = np.full((len(x), len(self.leaves)), np.inf, np.float32)
         for b in np.flatnonzero(opened.any(0)):
             who, own = np.flatnonzero(opened[:, b]), np.flatnonzero(self.owner == b)
             out[np.ix_(who, own)] = np.sqrt(self._squares(x[who], self.leaves[own]))
         return out
 
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """Which leaves each row takes from its queue."""
+        d = self.distances(x)
+        return d <= d.min(1, keepdims=True) + self.slack
+
+    def calibrate(self, probes: np.ndarray, neighbours: np.ndarray, of: np.ndarray, recall: float) -> None:
+        """Widen branches, then leaves, until they hold ``recall`` of the probes' neighbours."""
+
+        def widened(to: np.ndarray, home: np.ndarray, share: float) -> np.float32:
+            need = np.sort(to[of, home] - to.min(1)[of])
+            need[~np.isfinite(need)] = 0  # behind a closed branch: no margin of leaves helps
+            need.sort()
+            return np.float32(need[min(len(need) - 1, int(np.ceil(share * len(need))))] + 1e-4)
+
+        home = self.distances(neighbours).argmin(1)
+        to_branch = np.sqrt(self._squares(probes.astype(np.float32), self.branches))
+        self.reach = widened(to_branch, self.owner[home], 1 - (1 - recall) / 4)
+        home = self.distances(neighbours).argmin(1)
+        self.slack = widened(self.distances(probes), home, recall)
+
 
 def _probe_truth(vectors: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int, dim: int) -> tuple:
     """Brute-force neighbours of the probes: (probe, neighbour vector) pairs."""
@@ -154,20 +175,11 @@ def plant(vectors: DataFrame, k: int, dim: int, recall: float) -> Tree | None:
     probe, neighbour = _probe_truth(vectors, sample[pick], ids[pick], k, dim)
     if len(probe) == 0:
         return tree
-    to_leaf = tree.distances(sample[pick])
-    home = tree.distances(neighbour).argmin(1)
-    need = np.sort(to_leaf[probe, home] - to_leaf.min(1)[probe])
-    # the queue is widened step by step until the visited leaves hold the wanted share
-    tree.slack = np.float32(need[min(len(need) - 1, int(np.ceil(recall * len(need))))] + 1e-4)
+    tree.calibrate(sample[pick], neighbour, probe, recall)
     return tree
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    order = np.lexsort((ids, -sims))
-    return order[:k]
-
-
-def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recall: float = 0.985) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recall: float = 0.997) -> DataFrame:
     """``(id, neighbour, sim)``: the ``k`` most similar others of every usable vector by cosine.
 
     ``recall`` is the share of true neighbours the walk is calibrated to.
@@ -190,7 +202,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
             if not batch.num_rows:
                 continue
             v = _units(batch.column(1), dim)
-            leaf = tree.distances(v, reach=float(tree.slack)).argmin(1).astype(np.int32)
+            leaf = tree.distances(v).argmin(1).astype(np.int32)
             # equal directions of any length meet in one key; borders of rounding only split a group
             grid = np.ascontiguousarray(np.round(v, 5) + 0.0)
             bits = grid.view(np.uint64).reshape(grid.shape)
@@ -254,11 +266,9 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
                 continue
             ids, leaf = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             v = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, dim)
-            d = tree.distances(v, reach=float(tree.slack))
-            near = d.min(1, keepdims=True)
             # the vector itself goes to one of its leaf's blocks
             own = first_block[leaf] + (ids % n_blocks[leaf])
-            row, at = np.nonzero(d <= near + tree.slack)
+            row, at = np.nonzero(tree.visits(v))
             to = first_block[at]
             extra = n_blocks[at]
             many = extra > 1
@@ -302,8 +312,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
         pts = np.flatnonzero(point)[once]
         _, once = np.unique(ids[asks], return_index=True)
         qs = np.flatnonzero(asks)[once]
-        d = tree.distances(v[qs], reach=float(tree.slack))
-        d = d <= d.min(1, keepdims=True) + tree.slack
+        d = tree.visits(v[qs])
         best_sim = np.full((len(qs), k + 1), -2.0, np.float64)
         best_id = np.full((len(qs), k + 1), np.iinfo(np.int64).max)
         for b in np.unique(leaf[pts]):
