@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import linking, neighbours
+from wardloom.llm import leakage, linking, neighbours
 from wardloom.plans.tables import table
 
 
@@ -58,5 +58,20 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(
+        table(spark, d, "documents"), table(spark, d, "heldout_item"), "doc_id", "item_id", "text", "item_text"
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents each leaked item occurs."""
+    return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours, p7_found, p7_items)}
 ORACLE: dict[str, str] = {}
