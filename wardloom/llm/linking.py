@@ -90,46 +90,61 @@ def disorder_terms(canonical: DataFrame, synonyms: DataFrame) -> tuple[DataFrame
         """,
         canonical=canonical,
     )
-    words = spark.sql(
+    keys = materialize(keys, "keys")
+    syn = spark.sql(
+        """
+        SELECT k.*, trim(regexp_replace(lower(s.concept_synonym_name), ',.*$', '')) AS name
+        FROM {synonyms} s JOIN {keys} k ON s.concept_id = k.concept_id
+        """,
+        synonyms=synonyms,
+        keys=keys,
+    )
+    syn = materialize(syn, "synonyms")
+    lay = spark.sql(
         """
-        WITH syn AS (
-          SELECT k.*, trim(regexp_replace(lower(s.concept_synonym_name), ',.*$', '')) AS name
-          FROM {synonyms} s JOIN {keys} k ON s.concept_id = k.concept_id
-        ), site_1 AS (
+        WITH site_1 AS (
           SELECT DISTINCT site, trim(substr(name, length(lesion) + 5)) AS lay
-          FROM syn WHERE startswith(name, concat(lesion, ' of '))
+          FROM {syn} WHERE startswith(name, concat(lesion, ' of '))
         ), lesion_1 AS (
           SELECT DISTINCT y.lesion, trim(substr(y.name, length(l.lay) + 2)) AS lay
-          FROM syn y JOIN site_1 l ON y.site = l.site AND startswith(y.name, concat(l.lay, ' '))
+          FROM {syn} y JOIN site_1 l ON y.site = l.site AND startswith(y.name, concat(l.lay, ' '))
         ), lay_site AS (
           SELECT * FROM site_1
           UNION SELECT y.site, trim(substr(y.name, 1, length(y.name) - length(l.lay)))
-          FROM syn y JOIN lesion_1 l ON y.lesion = l.lesion AND endswith(y.name, concat(' ', l.lay))
+          FROM {syn} y JOIN lesion_1 l ON y.lesion = l.lesion AND endswith(y.name, concat(' ', l.lay))
         ), lay_lesion AS (
           SELECT * FROM lesion_1
           UNION SELECT y.lesion, trim(substr(y.name, length(l.lay) + 2))
-          FROM syn y JOIN lay_site l ON y.site = l.site AND startswith(y.name, concat(l.lay, ' '))
+          FROM {syn} y JOIN lay_site l ON y.site = l.site AND startswith(y.name, concat(l.lay, ' '))
         )
+        SELECT lay, 'first' AS kind, site AS ident FROM lay_site
+        UNION SELECT lay, 'second', lesion FROM lay_lesion
+        """,
+        syn=syn,
+    )
+    lay = materialize(lay, "lay")
+    words = spark.sql(
+        """
         SELECT site AS word, 'first' AS kind, site AS ident, 4 AS abbreviable FROM {keys}
         UNION SELECT lesion, 'second', lesion, 4 FROM {keys}
-        UNION SELECT lay, 'first', site, 0 FROM lay_site
-        UNION SELECT lay, 'second', lesion, 0 FROM lay_lesion
+        UNION SELECT lay, kind, ident, 0 FROM {lay}
         UNION SELECT concat(site, lesion), 'pair', cast(concept_id AS string), 0 FROM {keys}
         UNION SELECT concat(lesion, site), 'pair', cast(concept_id AS string), 0 FROM {keys}
-        UNION SELECT name, 'pair', cast(concept_id AS string), 0 FROM syn
+        UNION SELECT name, 'pair', cast(concept_id AS string), 0 FROM {syn}
         UNION SELECT s.word, 'other', '', 0 FROM (
           SELECT explode(split(lower(concept_name), '[^a-z]+')) AS word FROM {canonical} WHERE domain_id = 'Condition'
         ) s LEFT ANTI JOIN (SELECT site AS word FROM {keys} UNION SELECT lesion FROM {keys}) t ON s.word = t.word
         UNION SELECT explode(split('""" + REMARKS + """', ' ')), 'other', '', 0
         """,
-        synonyms=synonyms,
+        syn=syn,
+        lay=lay,
         keys=keys,
         canonical=canonical,
     )
     pairs = keys.groupBy(F.col("site").alias("first"), F.col("lesion").alias("second")).agg(
         F.min("concept_id").alias("concept_id")
     )
-    return _variants(spark, words), pairs
+    return materialize(_variants(spark, materialize(words, "words")), "terms"), materialize(pairs, "pairs")
 
 
 def product_terms(canonical: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,6 +161,7 @@ def product_terms(canonical: DataFrame, synonyms: DataFrame) -> tuple[DataFrame,
         """,
         canonical=canonical,
     )
+    keys = materialize(keys, "keys")
     words = spark.sql(
         r"""
         SELECT ingredient AS word, 'first' AS kind, ingredient AS ident, 5 AS abbreviable FROM {keys}
@@ -165,7 +181,7 @@ def product_terms(canonical: DataFrame, synonyms: DataFrame) -> tuple[DataFrame,
     pairs = keys.groupBy(F.col("ingredient").alias("first"), F.col("strength").alias("second")).agg(
         F.min("concept_id").alias("concept_id")
     )
-    return _variants(spark, words), pairs
+    return materialize(_variants(spark, materialize(words, "words")), "terms"), materialize(pairs, "pairs")
 
 
 def match_strings(grams: DataFrame, terms: DataFrame) -> DataFrame:
