@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import leakage, linking, neighbours
+from wardloom.llm import leakage, linking, neighbours, stuffing
 from wardloom.plans.tables import table
 
 
@@ -73,5 +73,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours, p7_found, p7_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = stuffing.stuffed(table(spark, d, "documents"), "doc_id", "text")
+    return pages.where(F.col("spam") * 2 > F.col("words")).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_pages(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of each page are keywords, links or tags."""
+    pages = stuffing.stuffed(table(spark, d, "documents"), "doc_id", "text")
+    return pages.withColumnRenamed("id", "doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours, p7_found, p7_items, p9_found, p9_pages)}
 ORACLE: dict[str, str] = {}
