@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import leakage, linking, neighbours, stuffing
+from wardloom.llm import leakage, linking, mixing, neighbours, stuffing
 from wardloom.plans.tables import table
 
 
@@ -73,6 +73,21 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"))
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = mixing.sized(table(spark, d, "documents"), "doc_id", "source", "text")
+    return mixing.mix(documents, table(spark, d, "source_weight"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     pages = stuffing.stuffed(table(spark, d, "documents"), "doc_id", "text")
     return pages.where(F.col("spam") * 2 > F.col("words")).select(F.col("id").alias("doc_id")).distinct()
@@ -84,5 +99,5 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.withColumnRenamed("id", "doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours, p7_found, p7_items, p9_found, p9_pages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_neighbours, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_pages)}
 ORACLE: dict[str, str] = {}

@@ -33,7 +33,7 @@ LISTED = 0.28  # separators per word of a line from which it is a list of terms
 # Limits on share (of the block's words) and mean NPMI, as read from distributions of ordinary blocks:
 STUFFED = 0.20  # share that no ordinary block reaches
 REPEATED, LOOSE = 0.13, 0.34  # share that counts where neighbours fit loosely
-LINE_REPEATED = 0.14  # share that counts within one long line
+LINE_REPEATED, LINE_LOOSE = 0.14, 0.42  # share that counts within one long line; NPMI below which REPEATED does
 LISTED_LOOSE = 0.5  # NPMI below that of any listing within a sentence, where terms are listed and repeated
 SALAD = 0.20  # NPMI below that of any list or table
 
@@ -202,6 +202,7 @@ def judge(b: Batch, sketch: Sketch) -> pd.DataFrame:
         ((share >= STUFFED) & (top >= 4))
         | ((share >= REPEATED) & (top >= 3) & (mean < LOOSE))
         | ((share >= LINE_REPEATED) & (top >= 5) & b.few_lines)
+        | ((share >= REPEATED) & (top >= 5) & (mean < LINE_LOOSE) & b.few_lines)
         | ((b.cuts >= LISTED * n) & (top >= 3) & (mean < LISTED_LOOSE))
         | ((mean < SALAD) & (m >= LEAST))
     )
