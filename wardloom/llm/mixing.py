@@ -65,10 +65,11 @@ def fill(weights: dict[str, float], limits: dict[str, float], total: float) -> d
     free = {s for s, w in weights.items() if w > 0 and limits.get(s, 0) > 0}
     left = total
     while free and left > 0:
-        scale = left / sum(weights[s] for s in free)
-        over = {s for s in free if weights[s] * scale >= limits[s]}
+        norm = sum(weights[s] for s in free)
+        share = {s: left * (weights[s] / norm) for s in free}
+        over = {s for s in free if share[s] >= limits[s]}
         if not over:
-            plan |= {s: weights[s] * scale for s in free}
+            plan |= share
             break
         for s in over:
             plan[s] = float(limits[s])

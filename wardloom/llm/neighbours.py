@@ -248,7 +248,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
         )
         heads = materialize(heads, "heads")
         marked = placed.join(heads, "way", "left")
-        searched = marked.where("heads is null or array_contains(heads, id)").drop("heads")
+        searched = marked.where("heads is null or array_contains(heads, id)").select(*placed.columns)
         crowd_answers = (
             marked.where("heads is not null and not array_contains(heads, id)")
             .select("id", F.explode(F.slice("heads", 1, k)).alias("neighbour"))
