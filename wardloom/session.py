@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -24,6 +25,18 @@ def build(master: str = "local[*]", app: str = "wardloom", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def guard(spark: SparkSession) -> SparkSession:
+    """Switch off a planner feature that gives wrong results.
+
+    Spark 4.1.2 lets a union claim the partitioning of its children; where a
+    child is a projection with a literal column, a grouping above it is then
+    not shuffled although equal keys lie in different partitions, and groups
+    come out twice. Runtime setting, no effect on versions without it.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; every executor must see it.
 
@@ -46,7 +59,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     Cuts lineage like ``checkpoint()`` but computes the plan once and stays
     columnar. The files outlive any executor.
     """
-    spark = df.sparkSession
+    spark = guard(df.sparkSession)
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
