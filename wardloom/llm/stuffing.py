@@ -36,7 +36,8 @@ REPEATED, LOOSE = 0.13, 0.34  # share that counts where neighbours fit loosely
 LINE_REPEATED, LINE_LOOSE = 0.14, 0.42  # share that counts within one long line; NPMI below which REPEATED does
 PHRASE, PHRASE_LOOSE = 0.30, 0.46  # share of all words repeated about as often as the first, in one long line
 LISTED_LOOSE = 0.5  # NPMI below that of any listing within a sentence, where terms are listed and repeated
-SALAD = 0.20  # NPMI below that of any list or table
+SALAD = 0.20  # NPMI below that of lists of words
+WORDY, MOSTLY_WORDY = 0.8, 0.6  # least share of words that are no numbers or letters: tables of values fit loosely too
 
 _LINK = re.compile(
     r"<a\b[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\n]*\)?|https?://\S*|\bwww\.\S+"
@@ -199,16 +200,17 @@ def judge(b: Batch, sketch: Sketch) -> pd.DataFrame:
     in_block = own(b.word, b.block)
     np.maximum.at(top, b.block[rare], in_block[rare])
     share = top / np.maximum(n, 1)
+    wordy = np.bincount(b.block, (b.word & np.uint64(1)).astype(float), minlength=b.blocks) / np.maximum(n, 1)
     often = rare & (in_block >= np.maximum(5, 0.6 * top[b.block]))
     phrase = np.bincount(b.block[often], minlength=b.blocks) / np.maximum(n, 1)
     spam = (n >= LEAST) & (
         ((share >= STUFFED) & (top >= 4))
-        | ((share >= REPEATED) & (top >= 3) & (mean < LOOSE))
+        | ((share >= REPEATED) & (top >= 4) & (mean < LOOSE) & (wordy >= MOSTLY_WORDY))
         | ((share >= LINE_REPEATED) & (top >= 5) & b.few_lines)
         | ((share >= REPEATED) & (top >= 5) & (mean < LINE_LOOSE) & b.few_lines)
         | ((phrase >= PHRASE) & (share >= PHRASE / 4) & (mean < PHRASE_LOOSE) & b.few_lines)
         | ((b.cuts >= LISTED * n) & (top >= 3) & (mean < LISTED_LOOSE))
-        | ((mean < SALAD) & (m >= LEAST))
+        | ((mean < SALAD) & (m >= LEAST) & (wordy >= WORDY))
     )
     fixed = b.links + b.tags
     return pd.DataFrame(
