@@ -48,7 +48,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, key: str = "concept_id", text: s
 def top_k(scored: DataFrame, k: int, by: str = "score", tie: str = "doc") -> DataFrame:
     """The ``k`` best rows of each query with a 0-based ``rank``; ties go to the smaller ``tie``."""
     order = Window.partitionBy("query_id").orderBy(F.desc(by), tie)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(order).cast("long") - 1).where(F.col("rank") < k)
 
 
 def search(
@@ -107,7 +107,7 @@ def fuzzy_terms(terms: DataFrame, queries: DataFrame) -> DataFrame:
         spots.join(grams.drop("n"), ["seg", "at"])
         .select("q", "term", "k", F.levenshtein("q", "term").alias("distance"))
         .where("distance <= k")
-        .select(F.col("q").alias("query_token"), "term", "distance")
+        .select(F.col("q").alias("query_token"), "term", F.col("distance").cast("long").alias("distance"))
         .distinct()
     )
 
@@ -154,7 +154,7 @@ def cosine(
         part = rows.mapInArrow(best, "query_id long, doc long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return index.sparkSession.createDataFrame([], "query_id long, doc long, score double, rank int")
+        return index.sparkSession.createDataFrame([], "query_id long, doc long, score double, rank long")
     return top_k(found, k)
 
 

@@ -103,7 +103,7 @@ _LOOKUPS = (("gender", "M", 8507, 1), ("gender", "F", 8532, 2), ("gender", "M",
 
 @query(
     "SELECT patient_id AS person_source_value, gender AS gender_source_value, "
-    "CASE gender WHEN 'M' THEN 8507 WHEN 'F' THEN 8532 ELSE 0 END AS gender_concept_id FROM patients"
+    "CAST(CASE gender WHEN 'M' THEN 8507 WHEN 'F' THEN 8532 ELSE 0 END AS BIGINT) AS gender_concept_id FROM patients"
 )
 def q_etl_person(spark, d):
     items = values(spark, "source_column string, source_code string, target_concept_id long, item int", *_LOOKUPS)
@@ -436,7 +436,7 @@ def q_retrieval_metrics(spark, d):
 @query(
     "WITH s AS (SELECT upper(concept_code) AS k, concept_id, concept_name FROM canonical_concept WHERE standard_concept = 'S'), c AS (SELECT DISTINCT code FROM (SELECT dx_code AS code FROM conditions UNION SELECT lower(concept_code) FROM canonical_concept UNION SELECT concept_code || '.1' FROM canonical_concept UNION SELECT substr(concept_code, 1, 3) || '.' || substr(concept_code, 4) FROM canonical_concept) WHERE code IS NOT NULL), "
     "a AS (SELECT k, min(concept_id) AS id, arg_min(concept_name, concept_id) AS nm FROM s GROUP BY 1), p AS (SELECT replace(k, '.', '') AS k, min(concept_id) AS id, arg_min(concept_name, concept_id) AS nm FROM s GROUP BY 1) "
-    "SELECT code, CAST(coalesce(t1.id, t2.id, t3.id) AS VARCHAR) AS concept_id, coalesce(t1.nm, t2.nm, t3.nm) AS concept_name, CASE WHEN t1.id IS NOT NULL THEN 0.99 WHEN t2.id IS NOT NULL THEN 0.97 WHEN t3.id IS NOT NULL THEN 0.92 END AS confidence "
+    "SELECT code, CAST(coalesce(t1.id, t2.id, t3.id) AS VARCHAR) AS concept_id, coalesce(t1.nm, t2.nm, t3.nm) AS concept_name, CAST(CASE WHEN t1.id IS NOT NULL THEN 0.99 WHEN t2.id IS NOT NULL THEN 0.97 WHEN t3.id IS NOT NULL THEN 0.92 END AS DOUBLE) AS confidence "
     "FROM c LEFT JOIN a t1 ON t1.k = upper(code) LEFT JOIN p t2 ON t2.k = replace(upper(code), '.', '') "
     "LEFT JOIN a t3 ON t3.k = split_part(upper(code), '.', 1) AND len(split_part(code, '.', 1)) >= 3 AND contains(code, '.')"
 )
@@ -510,7 +510,7 @@ _PATTERNS = (("patient_id", "person.person_id", 0), ("gender", "person.gender",
 _MATCH = (
     "WITH c AS (SELECT * FROM " + sql_values(*((x,) for x in _COLUMNS)) + " t(column_name)), p AS (SELECT * FROM " + sql_values(*_PATTERNS) + " t(pattern, target, ordinal)), "
     "h AS (SELECT column_name, target, CASE WHEN column_name = pattern THEN 0 ELSE 1 END AS loose, ordinal FROM c JOIN p ON contains(column_name, pattern)), "
-    "m AS (SELECT column_name, target, CASE loose WHEN 0 THEN 0.95 ELSE 0.85 END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY loose, ordinal) AS n FROM h) WHERE n = 1)"
+    "m AS (SELECT column_name, target, CAST(CASE loose WHEN 0 THEN 0.95 ELSE 0.85 END AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY loose, ordinal) AS n FROM h) WHERE n = 1)"
 )
 
 
@@ -830,4 +830,4 @@ def q_redact_and_hash(spark, d):
 )
 def q_tokens(spark, d):
     docs = table(spark, d, "documents").where("text is not null").withColumn("ts", TX.tokens(F.col("text")))
-    return docs.select("doc_id", F.size("ts").alias("tokens"), F.size(F.array_distinct("ts")).alias("distinct_tokens"))
+    return docs.select("doc_id", F.size("ts").cast("long").alias("tokens"), F.size(F.array_distinct("ts")).cast("long").alias("distinct_tokens"))
