@@ -45,6 +45,15 @@ def test_asof_edges(spark):
     assert asof.asof_join(ev, empty, "code", "at").count() == 0
 
 
+def test_asof_clashing_columns(spark):
+    known = asof.known_intervals(
+        spark.createDataFrame([(1, "a", day(0), None, day(0))], "rid long, code string, s date, e date, p date"), "code", "s", "e", "p", ["p", "rid"]
+    )
+    ev = spark.createDataFrame([(7, "a", day(3), "x", "y")], "rid long, entity string, at date, from_day string, p string")
+    got = asof.asof_join(ev, known, "entity", "at").first().asDict()
+    assert got["rid"] == 7 and got["rid_known"] == 1 and got["from_day"] == "x" and got["p"] == "y"
+
+
 def test_code_key(spark):
     df = spark.createDataFrame([(" i69.3",), ("I693",), ("",), (None,), (" . ",)], "c string")
     assert [r[0] for r in df.select(asof.code_key(F.col("c"))).collect()] == ["I693", "I693", None, None, None]

@@ -86,6 +86,34 @@ def test_bm25_edges(spark):
     assert set(k1) <= set(k2)
 
 
+def test_index_vectors_and_hook(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "renal cyst"), (2, None)], "concept_id long, concept_name string")
+    RT.save_index(corpus, str(tmp_path))
+    index, figures = RT.load_index(spark, str(tmp_path))
+    assert index.count() == 2 and figures.first()["n_docs"] == 2
+    got = {r["concept_id"]: r["vector"] for r in RT.hashed_vectors(corpus, "concept_name", 8).collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and got[2] == [0.0] * 8
+    kept = RT.verify(corpus, lambda batches: (b[b.concept_id == 1] for b in batches), "concept_id long, concept_name string")
+    assert kept.count() == 1
+
+
+def test_concept_names_and_runs(spark):
+    df = spark.createDataFrame([("M",), ("x",)], "sex string")
+    codes = spark.createDataFrame([("sex", "M", 8507)], "source_column string, key string, value int")
+    names = spark.createDataFrame([(8507, "Male")], "concept_id int, concept_name string")
+    assert rows(R.add_concepts(df, codes, {"sex": "g"}, names), "sex", "g_concept_id", "g_concept_name") == [("M", 8507, "Male"), ("x", 0, None)]
+    runs = spark.createDataFrame([("omop", "fhir", "person", 3), ("omop", "fhir", "visit", 4)], "source string, target string, entity string, records int")
+    from wardloom.operators import crossmap
+
+    assert crossmap.run_summary(runs).first().asDict() == {"runs": 2, "records": 7, "pairs": 1}
+
+
+def test_parse_resources(spark):
+    lines = spark.createDataFrame([('{"active": true, "gender": "male"}',), ('{"active": "perhaps"',), (None,)], "value string")
+    got = profiles.parse(lines, standards.load("fhir"), "Patient").collect()
+    assert got[0]["gender"] == "male" and got[0]["malformed"] is None and got[1]["malformed"] is not None
+
+
 def test_cosine_edges(spark):
     index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0])], "k long, v array<double>")
     queries = spark.createDataFrame([(9, [3.0, 0.0]), (8, None)], "query_id long, vector array<double>")

@@ -64,27 +64,34 @@ def asof_join(
     the first and last event, and events meet them by equality of entity and
     bucket with half-open containment. Bucketing also spreads an entity that
     holds a large share of the events. Events without entity or day, or in no
-    interval, are left out; intervals must not overlap within an entity.
+    interval, are left out; intervals must not overlap within an entity. A
+    column of the intervals that an event has too comes out as ``<name>_known``.
     """
-    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bucket_days)
+    day_bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bucket_days)
     placed = events.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).withColumn(
-        "_bucket", bucket(F.col(day))
+        "_bucket", day_bucket(F.col(day))
     )
     reach = placed.agg(F.min("_bucket").alias("_lo"), F.max("_bucket").alias("_hi"))
+    own = {c: f"{c}_known" if c in events.columns else c for c in intervals.columns if c != "entity"}
     spread = (
-        intervals.withColumnRenamed("entity", "_entity")
+        intervals.select(
+            F.col("entity").alias("_entity"),
+            F.col("from_day").alias("_from"),
+            F.col("to_day").alias("_to"),
+            *(F.col(c).alias(name) for c, name in own.items()),
+        )
         .crossJoin(reach)  # one row
         .withColumns(
             {
-                "_a": F.greatest(bucket(F.col("from_day")), F.col("_lo")),
-                "_b": F.least(bucket(F.date_sub("to_day", 1)), F.col("_hi")),
+                "_a": F.greatest(day_bucket(F.col("_from")), F.col("_lo")),
+                "_b": F.least(day_bucket(F.date_sub("_to", 1)), F.col("_hi")),
             }
         )
         .where("_a <= _b")
         .withColumn("_at", F.explode(F.sequence("_a", "_b")))
         .drop("_a", "_b", "_lo", "_hi")
     )
-    inside = (F.col(day) >= F.col("from_day")) & (F.col(day) < F.col("to_day"))
+    inside = (F.col(day) >= F.col("_from")) & (F.col(day) < F.col("_to"))
     return placed.join(
         spread, (F.col(entity) == F.col("_entity")) & (F.col("_bucket") == F.col("_at")) & inside
-    ).drop("_bucket", "_at", "_entity")
+    ).drop("_bucket", "_at", "_entity", "_from", "_to")

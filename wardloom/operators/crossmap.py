@@ -68,3 +68,12 @@ def coverage(crossmap: Crossmap, entity: str, source: Standard, target: Standard
 def unmapped_fields(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """``(entity, field)`` of metadata ``fields`` that ``rules(entity, field)`` don't mention."""
     return fields.select("entity", "field").distinct().join(rules.select("entity", "field").distinct(), ["entity", "field"], "left_anti")
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row for ``runs(source, target, entity, records)``: runs, records, distinct pairs of standards."""
+    return runs.agg(
+        F.count("*").alias("runs"),
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+        F.count_distinct("source", "target").alias("pairs"),
+    )

@@ -77,11 +77,17 @@ def lookup_table(items: DataFrame, order: str = "item") -> DataFrame:
     )
 
 
-def add_concepts(df: DataFrame, table: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """For each code column its ``<name>_concept_id`` by the entries of ``table`` for it; unknown codes give 0."""
+def add_concepts(df: DataFrame, table: DataFrame, columns: Mapping[str, str], names: DataFrame | None = None) -> DataFrame:
+    """For each code column its ``<name>_concept_id`` by the entries of ``table`` for it; unknown codes give 0.
+
+    With ``names(concept_id, concept_name)`` also ``<name>_concept_name``, null where there is none.
+    """
     for column, target in columns.items():
         own = table.where(F.col("source_column") == column).select("key", "value")
         df = map_column(df, column, own, f"{target}_concept_id")
+        if names is not None:
+            side = names.select(F.col("concept_id").alias("key"), F.col("concept_name").alias("value"))
+            df = map_column(df, f"{target}_concept_id", side, f"{target}_concept_name", None)
     return df
 
 

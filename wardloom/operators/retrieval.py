@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.text import sigmoid, tokens
@@ -307,6 +307,59 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def save_index(corpus: DataFrame, path: str, key: str = "concept_id", text: str = "concept_name") -> None:
+    """Postings and corpus figures as Parquet under ``path``."""
+    index, figures = postings(corpus, key, text)
+    index.write.mode("overwrite").parquet(f"{path}/postings")
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/figures")
+
+
+def hashed_vectors(df: DataFrame, text: str, dim: int = 64, target: str = "vector") -> DataFrame:
+    """``target``: word counts hashed to ``dim`` places, of length 1; zeros without words. Stays in the JVM."""
+    places = F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)).cast("double")
+    )
+    length = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("_counts", lambda x: F.coalesce(F.try_divide(x, F.col("_length")), F.lit(0.0)))
+    return (
+        df.withColumn("_places", places)
+        .withColumn("_counts", counts)
+        .withColumn("_length", length)
+        .withColumn(target, unit)
+        .drop("_places", "_counts", "_length")
+    )
+
+
+def map_codes(codes: DataFrame, concepts: DataFrame, scored: DataFrame, limit: int = 5) -> DataFrame:
+    """Candidates ``(code, doc, score, method, rank)``: an exact code answers alone, else the search does.
+
+    ``codes`` has ``code, query_id``; ``scored`` is ``(query_id, doc, score)`` of
+    a search over descriptions, scaled by the best score of its query. At most
+    five times ``limit``, and 50, candidates are looked at before the cut.
+    """
+    exact = code_lookup(codes, concepts).where("concept_id is not null")
+    direct = codes.join(exact, "code").select("code", "query_id", F.col("concept_id").alias("doc"), F.col("confidence").alias("score"), F.lit("code").alias("method"))
+    best = scored.groupBy("query_id").agg(F.max("score").alias("_top"))
+    open_ = codes.join(exact.select("code"), "code", "left_anti")
+    fetched = top_k(scored.where("score > 0"), min(50, 5 * limit)).drop("rank").join(best, "query_id")
+    searched = open_.join(fetched, "query_id").select(
+        "code", "query_id", "doc", F.round(F.col("score") / F.col("_top"), 6).alias("score"), F.lit("search").alias("method")
+    )
+    order = Window.partitionBy("code").orderBy(F.desc("score"), "doc")
+    both = direct.unionByName(searched).withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    return both.where(F.col("rank") < limit).drop("query_id")
+
+
+def verify(routed: DataFrame, judge: Callable, schema: str) -> DataFrame:
+    """A pluggable check of routed items by a function over pandas batches (a model, a service); none is built in."""
+    return routed.mapInPandas(judge, schema)
+
+
 BACKENDS: dict[str, Callable] = {"bm25": bm25, "full_text": full_text, "cosine": cosine}
 
 

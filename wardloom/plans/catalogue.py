@@ -449,6 +449,29 @@ def q_code_lookup(spark, d):
     return RT.code_lookup(codes.where("code is not null"), canonical).withColumn("concept_id", F.col("concept_id").cast("string"))
 
 
+@query(
+    _BM25 + ", names AS (SELECT query, query_id, 'LC' || CAST(query_id AS VARCHAR) AS code FROM q), s AS (SELECT upper(concept_code) AS k, min(concept_id) AS id FROM canonical_concept WHERE standard_concept = 'S' GROUP BY 1), "
+    "codes AS (SELECT code, query_id FROM names UNION ALL SELECT lower(concept_code), -concept_id FROM canonical_concept WHERE concept_code IS NOT NULL), x AS (SELECT code, query_id, id FROM codes JOIN s ON k = upper(code)), "
+    "t AS (SELECT query_id, max(score) AS top FROM scored GROUP BY 1), f AS (SELECT code, id AS doc, CAST(0.99 AS DOUBLE) AS score, 'code' AS method FROM x UNION ALL "
+    "SELECT c.code, r.doc, round(r.score / t.top, 6), 'search' FROM codes c JOIN ranked r USING (query_id) JOIN t USING (query_id) WHERE r.rank < 15 AND r.score > 0 AND c.code NOT IN (SELECT code FROM x)), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, doc) - 1 AS rank FROM f) SELECT code, doc, score, method, rank FROM g WHERE rank < 3"
+)
+def q_map_codes(spark, d):
+    canonical = table(spark, d, "canonical_concept")
+    names = _concept_queries(spark, d).select(F.concat(F.lit("LC"), F.col("query_id").cast("string")).alias("code"), "query_id")
+    known = canonical.where("concept_code is not null").select(F.lower("concept_code").alias("code"), (-F.col("concept_id")).alias("query_id"))
+    return RT.map_codes(names.unionByName(known), canonical, _scored(spark, d), 3)
+
+
+@query()
+def q_hashed_vectors(spark, d):
+    """Cosine top 3 of synonyms among hashed vectors of names."""
+    index = RT.hashed_vectors(table(spark, d, "canonical_concept"), "concept_name")
+    asked = table(spark, d, "concept_synonym").groupBy("concept_synonym_name").agg(F.min("concept_id").alias("query_id"))
+    queries = RT.hashed_vectors(asked, "concept_synonym_name").groupBy("query_id").agg(F.max("vector").alias("vector"))
+    return RT.cosine(index, queries, 3, "concept_id", "vector")
+
+
 # Vocabulary graph
 
 _REL = (

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.standards import Standard
+
 
 def compile_path(expression: str, columns: set[str]) -> Column | None:
     """A Boolean Column for a small subset of path expressions, null where it isn't supported.
@@ -38,6 +40,13 @@ def compile_path(expression: str, columns: set[str]) -> Column | None:
     return None
 
 
+def parse(lines: DataFrame, standard: Standard, entity: str, column: str = "value") -> DataFrame:
+    """JSON ``lines`` as typed rows of ``entity``; ``malformed`` holds the text of lines that don't fit the types."""
+    schema = standard.schema(entity).add("malformed", "string")
+    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+    return lines.select(parsed.alias("r")).select("r.*")
+
+
 def validate(resources: DataFrame, key: str, profile: Mapping) -> DataFrame:
     """``(key, path, severity, issue)``, one row per failure.
 
