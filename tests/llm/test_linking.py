@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardloom.llm import linking
@@ -70,7 +71,7 @@ def test_nulls_blanks_repeats_long_and_extra_columns(spark, lists):
     df = spark.createDataFrame(
         [(1, None, "a"), (2, "  ", "b"), (3, "renal cyst", "c"), (3, "renal cyst", "c"), (4, long, None)],
         "id long, typed string, gram string",
-    )
+    ).withColumn("concept_id", F.lit("own"))
     got = linking.link(df, "typed", *linking.disorder_terms(*lists), False)
     assert rows(got, "id", "gram", "concept_id") == [(3, "c", 1), (3, "c", 1), (4, None, 1)]
 

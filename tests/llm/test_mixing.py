@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardloom.llm import mixing
@@ -50,7 +51,7 @@ def test_mixture_and_report(spark):
 
 def test_same_seed_same_mixture(spark):
     docs, weights = frames(spark)
-    a = rows(mixing.mix(docs, weights, 3000, seed=1)[0])
+    a = rows(mixing.mix(docs.withColumn("place", F.rand(3)).withColumn("copies", F.lit(9)), weights, 3000, seed=1)[0])
     assert a == rows(mixing.mix(docs.repartition(7), weights, 3000, seed=1)[0])
     assert a != rows(mixing.mix(docs, weights, 3000, seed=2)[0])
 

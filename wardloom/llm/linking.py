@@ -235,11 +235,12 @@ def link(
 
     With ``numbers`` the second part of a key is a number in the text: one with
     a unit of strength if there is any, else any number standing alone.
-    Rows with null or blank text are left out, repeated rows stay. Of several
-    entries the one with the fewest edits wins, then the smallest id.
+    Rows with null or blank text are left out, repeated rows stay; a column
+    ``concept_id`` of ``values`` is replaced. Of several entries the one with
+    the fewest edits wins, then the smallest id.
     """
     spark = values.sparkSession
-    values = values.where(F.trim(F.col(text)) != "").withColumn("_clean", clean(F.col(text)))
+    values = values.drop("concept_id").where(F.trim(F.col(text)) != "").withColumn("_clean", clean(F.col(text)))
     texts = materialize(
         values.select("_clean").distinct().withColumn("tid", F.monotonically_increasing_id()), "texts"
     )

@@ -87,7 +87,7 @@ def mix(
     least once; ``total`` tokens are wanted (default: all there are in listed
     sources, each once). The report has one row per listed source, and one
     without a source for the documents of no listed source, which are not
-    used. Documents without tokens are not used, repeated rows count once.
+    used. Documents without tokens are not used, repeated rows and other columns count for nothing.
     Weights are normalised; a null or negative share or limit counts as 0. The
     weights table bounds what reaches the driver.
     """
@@ -104,7 +104,7 @@ def mix(
     )
     listed = materialize(listed, "weights")
     place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(PLACES)).cast("int")
-    docs = documents.where("tokens > 0").distinct().withColumn("place", place)
+    docs = documents.select("id", "source", "tokens").where("tokens > 0").distinct().withColumn("place", place)
     docs = materialize(docs, "sized")
     known = docs.join(listed.select("source"), "source", "left_semi")
     spots = known.groupBy("source", "place").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
