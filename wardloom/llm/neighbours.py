@@ -26,6 +26,7 @@ MAX_LEAVES = 8192
 LEAF_ROWS = 400  # rows a leaf should hold, while MAX_LEAVES allows
 BLOCK_ROWS = 8192  # rows a block holds, about
 PROBES = 600  # sample queries for calibration
+CELLS = 2_000_000  # distances held at once
 ROUND = 7  # digits to which similarities are compared
 
 
@@ -104,10 +105,24 @@ class Tree:
             out[np.ix_(who, own)] = np.sqrt(self._squares(x[who], self.leaves[own]))
         return out
 
-    def visits(self, x: np.ndarray) -> np.ndarray:
-        """Which leaves each row takes from its queue."""
-        d = self.distances(x)
-        return d <= d.min(1, keepdims=True) + self.slack
+    def _chunks(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows in pieces whose distances to all leaves take a bounded amount of memory."""
+        step = max(16, CELLS // len(self.leaves))
+        for i in range(0, len(x), step):
+            yield i, self.distances(x[i : i + step])
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        return np.concatenate([d.argmin(1) for _, d in self._chunks(x)]).astype(np.int32)
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the leaves each row takes from its queue."""
+        rows, leaves = [], []
+        for i, d in self._chunks(x):
+            r, leaf = np.nonzero(d <= d.min(1, keepdims=True) + self.slack)
+            rows.append(r + i)
+            leaves.append(leaf)
+        return np.concatenate(rows), np.concatenate(leaves)
 
     def calibrate(self, probes: np.ndarray, neighbours: np.ndarray, of: np.ndarray, recall: float) -> None:
         """Widen branches, then leaves, until they hold ``recall`` of the probes' neighbours."""
@@ -118,10 +133,10 @@ class Tree:
             need.sort()
             return np.float32(need[min(len(need) - 1, int(np.ceil(share * len(need))))] + 1e-4)
 
-        home = self.distances(neighbours).argmin(1)
+        home = self.nearest(neighbours)
         to_branch = np.sqrt(self._squares(probes.astype(np.float32), self.branches))
         self.reach = widened(to_branch, self.owner[home], 1 - (1 - recall) / 4)
-        home = self.distances(neighbours).argmin(1)
+        home = self.nearest(neighbours)
         self.slack = widened(self.distances(probes), home, recall)
 
 
@@ -130,27 +145,35 @@ def _probe_truth(vectors: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int
     bc = vectors.sparkSession.sparkContext.broadcast((probes, ids))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of a task's rows, a few more than ``k`` as rows may be repeated."""
         q, own = bc.value
+        sims = np.full((len(q), 2 * k), -2.0)
+        found, vecs = np.full((len(q), 2 * k), -1), np.zeros((len(q), 2 * k, dim), np.float32)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, vid = _units(batch.column(1), dim), batch.column(0).to_numpy()
-            sim = q @ v.T
-            sim[own[:, None] == vid[None, :]] = -2
-            top = np.argpartition(-sim, min(2 * k, sim.shape[1] - 1), axis=1)[:, : 2 * k]
-            rows = np.repeat(np.arange(len(q)), top.shape[1])
-            cols = top.ravel()
-            keep = sim[rows, cols] > -2
-            rows, cols = rows[keep], cols[keep]
-            yield pa.record_batch(
-                [
-                    pa.array(rows.astype(np.int32)),
-                    pa.array(vid[cols]),
-                    pa.array(sim[rows, cols].round(ROUND)),
-                    pa.array(list(v[cols].astype(np.float32)), pa.list_(pa.float32())),
-                ],
-                ["probe", "id", "sim", "vec"],
-            )
+            every, ids = _units(batch.column(1), dim), batch.column(0).to_numpy()
+            for i in range(0, len(every), 2048):
+                v, vid = every[i : i + 2048], ids[i : i + 2048]
+                sim = q @ v.T
+                sim[own[:, None] == vid[None, :]] = -2
+                m = min(2 * k, sim.shape[1])
+                top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+                both = np.hstack([sims, np.take_along_axis(sim, top, 1)])
+                keep = np.argpartition(-both, 2 * k - 1, axis=1)[:, : 2 * k]
+                sims = np.take_along_axis(both, keep, 1)
+                found = np.take_along_axis(np.hstack([found, vid[top]]), keep, 1)
+                vecs = np.take_along_axis(np.concatenate([vecs, v[top].astype(np.float32)], 1), keep[:, :, None], 1)
+        rows, cols = np.nonzero(sims > -2)
+        yield pa.record_batch(
+            [
+                pa.array(rows.astype(np.int32)),
+                pa.array(found[rows, cols]),
+                pa.array(sims[rows, cols].round(ROUND)),
+                pa.array(list(vecs[rows, cols]), pa.list_(pa.float32())),
+            ],
+            ["probe", "id", "sim", "vec"],
+        )
 
     found = vectors.mapInArrow(best, "probe int, id long, sim double, vec array<float>").dropDuplicates(["probe", "id"])
     order = Window.partitionBy("probe").orderBy(F.desc("sim"), "id")
@@ -202,7 +225,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
             if not batch.num_rows:
                 continue
             v = _units(batch.column(1), dim)
-            leaf = tree.distances(v).argmin(1).astype(np.int32)
+            leaf = tree.nearest(v)
             # equal directions of any length meet in one key; borders of rounding only split a group
             grid = np.ascontiguousarray(np.round(v, 5) + 0.0)
             bits = grid.view(np.uint64).reshape(grid.shape)
@@ -268,7 +291,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
             v = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, dim)
             # the vector itself goes to one of its leaf's blocks
             own = first_block[leaf] + (ids % n_blocks[leaf])
-            row, at = np.nonzero(tree.visits(v))
+            row, at = tree.visits(v)
             to = first_block[at]
             extra = n_blocks[at]
             many = extra > 1
@@ -312,16 +335,18 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
         pts = np.flatnonzero(point)[once]
         _, once = np.unique(ids[asks], return_index=True)
         qs = np.flatnonzero(asks)[once]
-        d = tree.visits(v[qs])
+        asker, asked = tree.visits(v[qs])
+        order = np.argsort(asked, kind="stable")
+        asker, asked = asker[order], asked[order]
         best_sim = np.full((len(qs), k + 1), -2.0, np.float64)
         best_id = np.full((len(qs), k + 1), np.iinfo(np.int64).max)
         for b in np.unique(leaf[pts]):
             own = pts[leaf[pts] == b]
-            who = np.flatnonzero(d[:, b])
+            who = asker[np.searchsorted(asked, b, "left") : np.searchsorted(asked, b, "right")]
             for s in range(0, len(own), 4096):
                 mine = own[s : s + 4096]
-                for t in range(0, len(who), 2048):
-                    ask = who[t : t + 2048]
+                for t in range(0, len(who), 512):
+                    ask = who[t : t + 512]
                     sim = v[qs[ask]] @ v[mine].T
                     m = min(k + 3, sim.shape[1])
                     part = np.argpartition(-sim, m - 1, axis=1)[:, :m]
