@@ -7,7 +7,7 @@ type; text-valued transforms keep the original text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,8 +38,24 @@ def java_pattern(pattern: str) -> str:
     return pattern
 
 
+def inner(v: Column, paths: Sequence[str], plain: bool = True) -> Column:
+    """The first of ``paths`` found in a struct, an array's first element or JSON text; null where there is none.
+
+    ``plain``: a value that is none of these is its own part.
+    """
+    text = F.get_json_object(F.to_json(F.struct(v.alias("v"))), "$.v")
+    found = [F.get_json_object(text, head + p) for p in paths for head in ("$.", "$[0].")]
+    nested = text.rlike(r"^\s*[\[{]") & F.get_json_object(text, "$").isNotNull()
+    return F.coalesce(*found, F.when(~nested, text)) if plain else F.coalesce(*found)
+
+
 def apply(name: str, value: Column, config: Mapping, record: Record) -> Column:
-    """The named transform; an unknown name passes the value through."""
+    """The named transform; an unknown name passes the value through.
+
+    With ``path`` in the configuration it sees that part of the value (:func:`inner`).
+    """
+    if "path" in config:
+        value = inner(value, config["path"], config.get("plain", True))
     return REGISTRY.get(name, REGISTRY["passthrough"])(value, config, record)
 
 
@@ -85,6 +101,9 @@ def codeable_concept(v: Column, c: Mapping, r: Record) -> Column:
     display = r(c["display_field"]).cast("string") if "display_field" in c else F.lit(None).cast("string")
     coding = F.struct(F.lit(c.get("system")).cast("string").alias("system"), code.alias("code"), display.alias("display"))
     text = F.coalesce(F.nullif(display, F.lit("")), code)
+    if c.get("text_alone"):  # a text without a code counts
+        codings = F.filter(F.array(coding), lambda x: x["code"].isNotNull())
+        return F.when(text.isNotNull(), F.struct(codings.alias("coding"), text.alias("text")))
     return F.when(code.isNotNull(), F.struct(F.array(coding).alias("coding"), text.alias("text")))
 
 
@@ -160,8 +179,14 @@ def split(v: Column, c: Mapping, r: Record) -> Column:
 
 @register("extract_id")
 def extract_id(v: Column, c: Mapping, r: Record) -> Column:
-    """The id behind the last slash of a reference."""
-    return F.nullif(F.regexp_extract(v.cast("string"), r"([^/]+)$", 1), F.lit(""))
+    """The id behind the last slash of a reference (a struct, or text)."""
+    return F.nullif(F.regexp_extract(inner(v, ["reference"]), r"([^/]+)$", 1), F.lit(""))
+
+
+@register("extract_number")
+def extract_number(v: Column, c: Mapping, r: Record) -> Column:
+    """The id of a reference as a number, null where it is none."""
+    return REGISTRY["int"](extract_id(v, c, r), c, r)
 
 
 @register("archetype_wrap")

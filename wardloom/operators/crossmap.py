@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.functions import transforms
 from wardloom.operators.vocabulary import best_targets
 from wardloom.standards import Standard
-from wardloom.standards.crossmaps import Crossmap
+from wardloom.standards.crossmaps import Crossmap, Rule
 
 
 def nest(paths: dict[str, Column]) -> list[Column]:
@@ -29,6 +29,21 @@ def nest(paths: dict[str, Column]) -> list[Column]:
     return [build(v).alias(k) for k, v in tree.items()]
 
 
+def reader(df: DataFrame, rules: list[Rule]) -> transforms.Record:
+    """Columns of ``df`` by field name: the first that isn't null of a field's names; a field that is missing is null."""
+    kinds = dict(df.dtypes)
+    names = {r.field: (r.field, *r.others) for r in rules if r.others}
+
+    def record(name: str) -> Column:
+        found = [n for n in names.get(name, (name,)) if n in kinds]
+        cols = [F.col(f"`{n}`") for n in found] or [F.lit(None).cast("string")]
+        if len({kinds[n] for n in found}) > 1:
+            cols = [c.cast("string") for c in cols]
+        return F.coalesce(*cols) if len(cols) > 1 else cols[0]
+
+    return record
+
+
 def cross_map(df: DataFrame, crossmap: Crossmap, entity: str) -> DataFrame:
     """``df`` (rows of ``entity``) in the target standard; an unknown entity leaves it unchanged.
 
@@ -36,9 +51,8 @@ def cross_map(df: DataFrame, crossmap: Crossmap, entity: str) -> DataFrame:
     """
     if entity not in crossmap.entities:
         return df
-    present = set(df.columns)
-    record = lambda name: F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
     target, rules = crossmap.entities[entity]
+    record = reader(df, rules)
     out = {r.target: transforms.apply(r.transform, record(r.field), r.config, record) for r in rules}
     if crossmap.target.split("_")[0] == "fhir":
         out = {"resourceType": F.lit(target)} | out
@@ -57,7 +71,7 @@ def with_targets(df: DataFrame, field: str, walk: DataFrame, prefix: str) -> Dat
 def coverage(crossmap: Crossmap, entity: str, source: Standard, target: Standard) -> dict[str, list[str]]:
     """Fields of the source entity that no rule reads, and of the target entity that none writes."""
     to, rules = crossmap.entities.get(entity, ("", []))
-    read = {r.field for r in rules}
+    read = {n for r in rules for n in (r.field, *r.others)}
     written = {r.target.split(".")[0].split("[")[0] for r in rules}
     return {
         "unmapped_source": sorted(f.name for f in source.entities.get(entity, []) if f.name not in read),

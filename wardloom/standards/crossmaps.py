@@ -1,4 +1,4 @@
-"""Crossmaps between standards, one field a line: ``field -> target.path = transform(json)``."""
+"""Crossmaps between standards, one field a line: ``field|other name -> target.path = transform(json)``."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ class Rule:
     target: str
     transform: str
     config: dict
+    others: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,8 @@ def parse(source: str, target: str, text: str) -> Crossmap:
         field, _, rest = line.partition(" -> ")
         path, _, how = rest.partition(" = ")
         name, _, config = how.partition("(")
-        rules.append(Rule(field, path, name or "passthrough", json.loads(config[:-1]) if config else {}))
+        field, *others = field.split("|")
+        rules.append(Rule(field, path, name or "passthrough", json.loads(config[:-1]) if config else {}, tuple(others)))
     return Crossmap(source, target, entities)
 
 
@@ -75,6 +77,13 @@ procedure_occurrence_id -> id = str
 person_id -> subject = fhir_reference
 procedure_source_value -> code = codeable_concept({{"system": "http://snomed.info/sct"}})
 procedure_date -> performedDateTime = fhir_date
+[observation -> Observation]
+observation_id -> id = str
+person_id -> subject = fhir_reference
+observation_concept_id -> code = codeable_concept({{"system": "http://loinc.org", "display_field": "observation_source_value", "text_alone": true}})
+observation_date -> effectiveDateTime = fhir_date
+value_as_string -> valueString = str
+value_as_number -> valueQuantity.value = float
 [provider -> Practitioner]
 provider_id -> id = str
 provider_name -> name.text = str
@@ -106,6 +115,20 @@ effectiveDateTime -> measurement_date = fhir_date
 subject -> person_source_value = extract_id
 code -> procedure_source_value = str
 performedDateTime -> procedure_date = fhir_date
+[AllergyIntolerance -> observation]
+id -> observation_id = int
+patient -> person_id = extract_number
+patient -> person_source_value = extract_id
+code -> observation_source_value = passthrough({"path": ["coding[0].code", "text"]})
+code -> value_as_string = passthrough({"path": ["text", "coding[0].display"], "plain": false})
+onsetDateTime|recordedDate -> observation_date = fhir_date
+[DiagnosticReport -> measurement]
+id -> measurement_id = int
+subject -> person_id = extract_number
+subject -> person_source_value = extract_id
+code -> measurement_source_value = passthrough({"path": ["coding[0].code", "text"]})
+effectiveDateTime|issued -> measurement_date = fhir_date
+conclusion -> value_source_value = passthrough
 [Practitioner -> provider]
 id -> provider_source_value = str
 name -> provider_name = str
