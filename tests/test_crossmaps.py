@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from wardloom.operators import crossmap
 from wardloom.standards import crossmaps
 
@@ -54,3 +56,50 @@ def test_allergy_and_report_to_omop(spark):
     got = mapped(spark, ("fhir", "omop"), "DiagnosticReport", schema, "5", ("Patient/a-1",), ([("http://loinc.org", "58410-2", None)], None), "2024-03-06", "normal")
     assert got["measurement_id"] == 5 and got["person_id"] is None and got["person_source_value"] == "a-1"
     assert got["measurement_source_value"] == "58410-2" and got["measurement_date"] == "2024-03-06" and got["value_source_value"] == "normal"
+
+
+ROUND_TRIPS = [
+    ("person", "person_id long, person_source_value string, gender_concept_id int, birth_datetime date", (7, "MRN-7", 8532, dt.date(1980, 1, 2))),
+    (
+        "visit_occurrence", "visit_occurrence_id long, person_id long, visit_concept_id int, visit_start_date date, visit_end_date date",
+        (11, 7, 9201, dt.date(2024, 3, 1), dt.date(2024, 3, 5)),
+    ),
+    ("condition_occurrence", "condition_occurrence_id long, person_id long, condition_source_value string, condition_start_date date", (12, 7, "E11.9", dt.date(2024, 3, 1))),
+    (
+        "drug_exposure", "drug_exposure_id long, person_id long, drug_source_value string, drug_exposure_start_date date, quantity double",
+        (13, 7, "860975", dt.date(2024, 3, 1), 30.0),
+    ),
+    (
+        "measurement", "measurement_id long, person_id long, measurement_source_value string, value_as_number double, unit_source_value string, measurement_date date",
+        (14, 7, "4548-4", 6.1, "%", dt.date(2024, 3, 1)),
+    ),
+    ("procedure_occurrence", "procedure_occurrence_id long, person_id long, procedure_source_value string, procedure_date date", (15, 7, "80146002", dt.date(2024, 3, 1))),
+]
+
+
+@pytest.mark.parametrize("entity, schema, values", ROUND_TRIPS, ids=[x[0] for x in ROUND_TRIPS])
+def test_round_trip_by_fhir(spark, entity, schema, values):
+    df = spark.createDataFrame([values], schema)
+    there = crossmap.cross_map(df, crossmaps.load("omop", "fhir"), entity)
+    back = crossmap.cross_map(there, crossmaps.load("fhir", "omop"), OMOP_TO_FHIR[entity]).first().asDict(recursive=True)
+    for name, value in zip(df.columns, values):
+        assert back[name] == (value.isoformat() if isinstance(value, dt.date) else value), name
+
+
+def test_fhir_records_as_json_and_plain_text(spark):
+    got = mapped(
+        spark, ("fhir", "omop"), "Observation", "id string, subject string, code string, valueQuantity string, valueString string", "1", '{"reference": "Patient/7"}',
+        '{"coding": [{"system": "http://loinc.org", "code": "718-7"}]}', '{"value": 13.5, "unit": "g/dL"}', "trace",
+    )
+    assert (got["person_id"], got["measurement_source_value"], got["value_as_number"], got["unit_source_value"], got["value_source_value"]) == (7, "718-7", 13.5, "g/dL", "trace")
+    got = mapped(spark, ("fhir", "omop"), "Observation", "id string, subject string, code string, valueQuantity double", "1", "Patient/7", "718-7", 13.5)
+    assert (got["person_id"], got["measurement_source_value"], got["value_as_number"], got["unit_source_value"]) == (7, "718-7", 13.5, None)
+
+
+def test_fhir_to_openehr(spark):
+    schema = f"code {CONCEPT}, valueQuantity struct<value:double,unit:string>, valueString string"
+    got = mapped(spark, ("fhir", "openehr"), "Observation", schema, ([("http://loinc.org", "718-7", "Hb")], None), (13.5, "g/dL"), "high")
+    assert got["test_name"]["value"] == "Hb" and got["test_name"]["defining_code"]["code_string"] == "718-7"
+    assert got["result_value"] == {"_type": "DV_QUANTITY", "magnitude": 13.5, "units": "g/dL"} and got["result_text"] == "high"
+    got = mapped(spark, ("fhir", "openehr"), "Encounter", "id string, period struct<start:string,end:string>", "1", ("2024-03-01", None))
+    assert "2024-03-01" in got.values()

@@ -138,8 +138,26 @@ def quantity(v: Column, c: Mapping, r: Record) -> Column:
 
 @register("dv_coded_text")
 def coded_text(v: Column, c: Mapping, r: Record) -> Column:
-    code = v.cast("string")
     display = r(c["display_field"]).cast("string") if "display_field" in c else F.lit(None).cast("string")
+    return _dv_text(v.cast("string"), display, c)
+
+
+@register("extract_coded_text")
+def extract_coded_text(v: Column, c: Mapping, r: Record) -> Column:
+    """The first code of a CodeableConcept with its text; a text alone is its own code."""
+    display = inner(v, ["text", "coding[0].display"], plain=False)
+    return _dv_text(inner(v, ["coding[0].code", "text"]), display, c)
+
+
+@register("extract_quantity")
+def extract_quantity(v: Column, c: Mapping, r: Record) -> Column:
+    """Value and unit of a Quantity; null without a value."""
+    units = F.coalesce(inner(v, ["unit", "code"], plain=False), F.lit(c.get("unit", "")))
+    magnitude = inner(v, ["value"]).try_cast("double")
+    return F.when(magnitude.isNotNull(), F.struct(F.lit("DV_QUANTITY").alias("_type"), magnitude.alias("magnitude"), units.alias("units")))
+
+
+def _dv_text(code: Column, display: Column, c: Mapping) -> Column:
     terminology = F.struct(F.lit(c.get("terminology", "local")).alias("value"))
     return F.when(
         code.isNotNull(),
@@ -189,6 +207,21 @@ def extract_number(v: Column, c: Mapping, r: Record) -> Column:
     return REGISTRY["int"](extract_id(v, c, r), c, r)
 
 
+@register("first")
+def first(v: Column, c: Mapping, r: Record) -> Column:
+    """The value, else the first part in ``else`` (field name: paths) that isn't null or blank."""
+    parts = [v.cast("string"), *(inner(r(f), paths) if paths else r(f).cast("string") for f, paths in c.get("else", {}).items())]
+    return F.coalesce(*(F.when(F.trim(p) != "", p) for p in parts))
+
+
+@register("extract_name")
+def extract_name(v: Column, c: Mapping, r: Record) -> Column:
+    """A person's name as text: its own text, else given names and family."""
+    given = F.regexp_replace(F.regexp_replace(inner(v, ["given"], plain=False), r'[\["\]]', ""), ",", " ")
+    whole = F.concat_ws(" ", given, inner(v, ["family"], plain=False))
+    return F.coalesce(inner(v, ["text"]), F.nullif(whole, F.lit("")))
+
+
 @register("archetype_wrap")
 def archetype_wrap(v: Column, c: Mapping, r: Record) -> Column:
     return F.struct(F.lit(c.get("archetype", "")).alias("archetype_node_id"), v.alias("value"))

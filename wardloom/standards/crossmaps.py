@@ -45,7 +45,7 @@ _SEX = '{"map": {"M": "male", "F": "female", "O": "other", "U": "unknown"}, "def
 OMOP_FHIR = f"""
 [person -> Patient]
 person_id -> id = str
-person_id -> identifier.value = str
+person_source_value -> identifier.value = first({{"else": {{"person_id": []}}}})
 gender_concept_id -> gender = value_map({_GENDER})
 birth_datetime -> birthDate = fhir_date
 location_id -> address.reference = fhir_reference({{"resource_type": "Location"}})
@@ -91,29 +91,45 @@ npi -> identifier.value = str
 """
 FHIR_OMOP = """
 [Patient -> person]
-id -> person_source_value = str
-gender -> gender_concept_id = value_map({"map": {"male": "8507", "female": "8532"}, "default": "0"})
+id -> person_id = int
+identifier -> person_source_value = first({"path": ["value"], "else": {"id": []}})
+gender -> gender_concept_id = value_map({"map": {"male": 8507, "female": 8532, "other": 8551, "unknown": 8570}, "default": 8551})
 birthDate -> birth_datetime = fhir_date
 [Encounter -> visit_occurrence]
-id -> visit_source_value = str
+id -> visit_occurrence_id = int
+subject -> person_id = extract_number
 subject -> person_source_value = extract_id
-class -> visit_concept_id = value_map({"map": {"IMP": "9201", "AMB": "9202", "EMER": "9203"}, "default": "0"})
+class -> visit_concept_id = value_map({"path": ["code"], "map": {"IMP": 9201, "AMB": 9202, "EMER": 9203}, "default": 0})
+type -> visit_source_value = first({"path": ["coding[0].code", "text"], "else": {"identifier": ["value"], "id": []}})
+period -> visit_start_date = fhir_date({"path": ["start"]})
+period -> visit_end_date = fhir_date({"path": ["end"], "plain": false})
 [Condition -> condition_occurrence]
+id -> condition_occurrence_id = int
+subject -> person_id = extract_number
 subject -> person_source_value = extract_id
-code -> condition_source_value = str
+code -> condition_source_value = passthrough({"path": ["coding[0].code", "text"]})
 onsetDateTime -> condition_start_date = fhir_date
 [MedicationRequest -> drug_exposure]
+id -> drug_exposure_id = int
+subject -> person_id = extract_number
 subject -> person_source_value = extract_id
-medication -> drug_source_value = str
+medicationCodeableConcept -> drug_source_value = passthrough({"path": ["coding[0].code", "text"]})
 authoredOn -> drug_exposure_start_date = fhir_date
+dispenseRequest -> quantity = float({"path": ["quantity.value"], "plain": false})
 [Observation -> measurement]
+id -> measurement_id = int
+subject -> person_id = extract_number
 subject -> person_source_value = extract_id
-code -> measurement_source_value = str
-value -> value_as_number = float
+code -> measurement_source_value = first({"path": ["coding[0].code", "text"], "else": {"valueString": []}})
+valueQuantity -> value_as_number = float({"path": ["value"]})
+valueQuantity -> unit_source_value = passthrough({"path": ["unit", "code"], "plain": false})
+valueString -> value_source_value = first
 effectiveDateTime -> measurement_date = fhir_date
 [Procedure -> procedure_occurrence]
+id -> procedure_occurrence_id = int
+subject -> person_id = extract_number
 subject -> person_source_value = extract_id
-code -> procedure_source_value = str
+code -> procedure_source_value = passthrough({"path": ["coding[0].code", "text"]})
 performedDateTime -> procedure_date = fhir_date
 [AllergyIntolerance -> observation]
 id -> observation_id = int
@@ -131,7 +147,7 @@ effectiveDateTime|issued -> measurement_date = fhir_date
 conclusion -> value_source_value = passthrough
 [Practitioner -> provider]
 id -> provider_source_value = str
-name -> provider_name = str
+name -> provider_name = extract_name
 [Organization -> care_site]
 id -> care_site_source_value = str
 name -> care_site_name = str
@@ -195,18 +211,20 @@ birthDate -> date_of_birth = fhir_date
 gender -> sex = dv_coded_text({"terminology": "local"})
 [Encounter -> composition.encounter]
 id -> uid = str
-start -> start_time = fhir_date
+period -> start_time = fhir_date({"path": ["start"]})
+period -> end_time = fhir_date({"path": ["end"], "plain": false})
 [Condition -> evaluation.problem_diagnosis]
-code -> problem_name = dv_coded_text({"terminology": "SNOMED-CT"})
+code -> problem_name = extract_coded_text({"terminology": "SNOMED-CT"})
 onsetDateTime -> onset_date = fhir_date
 [MedicationRequest -> instruction.medication_order]
-medication -> medication = dv_coded_text({"terminology": "RxNorm"})
+medicationCodeableConcept -> medication = extract_coded_text({"terminology": "RxNorm"})
 authoredOn -> start_date = fhir_date
 [Observation -> observation.laboratory_test_result]
-code -> test_name = dv_coded_text({"terminology": "LOINC"})
-value -> result_value = dv_quantity({"unit_field": "unit"})
+code -> test_name = extract_coded_text({"terminology": "LOINC"})
+valueQuantity -> result_value = extract_quantity
+valueString -> result_text = first
 [Procedure -> action.procedure]
-code -> procedure_name = dv_coded_text({"terminology": "SNOMED-CT"})
+code -> procedure_name = extract_coded_text({"terminology": "SNOMED-CT"})
 performedDateTime -> time = fhir_date
 """
 BUILT_IN = {
