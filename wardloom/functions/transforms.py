@@ -101,6 +101,12 @@ def codeable_concept(v: Column, c: Mapping, r: Record) -> Column:
     display = r(c["display_field"]).cast("string") if "display_field" in c else F.lit(None).cast("string")
     coding = F.struct(F.lit(c.get("system")).cast("string").alias("system"), code.alias("code"), display.alias("display"))
     text = F.coalesce(F.nullif(display, F.lit("")), code)
+    if "source" in c:  # the source's own code comes first, then the concept's
+        own = r(c["source"]["field"]).cast("string")
+        first_coding = F.struct(F.lit(c["source"].get("system")).cast("string").alias("system"), own.alias("code"), F.lit(None).cast("string").alias("display"))
+        coding = F.struct(F.lit(c.get("system")).cast("string").alias("system"), F.nullif(code, F.lit("0")).alias("code"), display.alias("display"))
+        codings = F.filter(F.array(first_coding, coding), lambda x: x["code"].isNotNull())
+        return F.when(F.size(codings) > 0, F.struct(codings.alias("coding"), F.coalesce(F.nullif(display, F.lit("")), own, code).alias("text")))
     if c.get("text_alone"):  # a text without a code counts
         codings = F.filter(F.array(coding), lambda x: x["code"].isNotNull())
         return F.when(text.isNotNull(), F.struct(codings.alias("coding"), text.alias("text")))
@@ -139,7 +145,13 @@ def quantity(v: Column, c: Mapping, r: Record) -> Column:
 @register("dv_coded_text")
 def coded_text(v: Column, c: Mapping, r: Record) -> Column:
     display = r(c["display_field"]).cast("string") if "display_field" in c else F.lit(None).cast("string")
-    return _dv_text(v.cast("string"), display, c)
+    code = v.cast("string")
+    if "else_field" in c:
+        code = F.coalesce(code, r(c["else_field"]).cast("string"))
+    if "map" in c:
+        hit = value_map(v, {"map": c["map"], "default": None}, r)
+        display = F.coalesce(hit, F.nullif(display, F.lit("")), F.lit(c.get("default")))
+    return _dv_text(code, display, c)
 
 
 @register("extract_coded_text")
@@ -160,7 +172,7 @@ def extract_quantity(v: Column, c: Mapping, r: Record) -> Column:
 def _dv_text(code: Column, display: Column, c: Mapping) -> Column:
     terminology = F.struct(F.lit(c.get("terminology", "local")).alias("value"))
     return F.when(
-        code.isNotNull(),
+        code.isNotNull() | F.lit("default" in c),
         F.struct(
             F.lit("DV_CODED_TEXT").alias("_type"),
             F.coalesce(F.nullif(display, F.lit("")), code).alias("value"),
@@ -207,6 +219,41 @@ def extract_number(v: Column, c: Mapping, r: Record) -> Column:
     return REGISTRY["int"](extract_id(v, c, r), c, r)
 
 
+@register("extract_text")
+def extract_text(v: Column, c: Mapping, r: Record) -> Column:
+    """The first of ``parts``, else the whole value as JSON, so nothing of it is lost."""
+    return F.coalesce(inner(v, c["parts"]), F.get_json_object(F.to_json(F.struct(v.alias("v"))), "$.v"))
+
+
+@register("hl7v2_date")
+def hl7v2_date(v: Column, c: Mapping, r: Record) -> Column:
+    """The date of an HL7 time stamp, as precise as it is; other texts as in ``fhir_date``."""
+    text = F.trim(v.cast("string"))
+    day = F.regexp_extract(text, r"^(\d{8})(\d{2}){0,3}(\.\d+)?([+-]\d{4})?$", 1)
+    month = F.when(text.rlike(r"^\d{6}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2)))
+    return F.coalesce(F.date_format(F.try_to_timestamp(day, F.lit("yyyyMMdd")), "yyyy-MM-dd"), month, F.nullif(iso_date(v, c, r), F.lit("")))
+
+
+def _each(c: Mapping, r: Record, build: Callable[[str, Column], Column]) -> Column:
+    """One struct per field of ``fields`` (name: label) that isn't null or blank; null where there is none."""
+    parts = [(label, r(f).cast("string")) for f, label in c["fields"].items()]
+    found = F.filter(F.array(*(F.when(F.trim(p) != "", build(label, p)) for label, p in parts)), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found)
+
+
+@register("identifiers")
+def identifiers(v: Column, c: Mapping, r: Record) -> Column:
+    """Identifiers of the ``fields`` (name: type code of HL7 table 0203)."""
+    kind = lambda code: codeable_concept(F.lit(code), {"system": "http://terminology.hl7.org/CodeSystem/v2-0203"}, r)
+    return _each(c, r, lambda code, p: F.struct(kind(code).alias("type"), p.alias("value")))
+
+
+@register("extensions")
+def extensions(v: Column, c: Mapping, r: Record) -> Column:
+    """Extensions of the ``fields`` (name: address)."""
+    return _each(c, r, lambda url, p: F.struct(F.lit(url).alias("url"), p.alias("valueString")))
+
+
 @register("first")
 def first(v: Column, c: Mapping, r: Record) -> Column:
     """The value, else the first part in ``else`` (field name: paths) that isn't null or blank."""

@@ -71,7 +71,7 @@ def with_targets(df: DataFrame, field: str, walk: DataFrame, prefix: str) -> Dat
 def coverage(crossmap: Crossmap, entity: str, source: Standard, target: Standard) -> dict[str, list[str]]:
     """Fields of the source entity that no rule reads, and of the target entity that none writes."""
     to, rules = crossmap.entities.get(entity, ("", []))
-    read = {n for r in rules for n in (r.field, *r.others)}
+    read = {n for r in rules for n in r.reads}
     written = {r.target.split(".")[0].split("[")[0] for r in rules}
     return {
         "unmapped_source": sorted(f.name for f in source.entities.get(entity, []) if f.name not in read),

@@ -603,7 +603,8 @@ def q_cross_map_laboratory(spark, d):
 
 
 def _mapped_columns(df: DataFrame, rules: crossmaps.Crossmap, entity: str):
-    return crossmap.nest({r.target: transforms.apply(r.transform, F.col(r.field), r.config, F.col) for r in rules.entities[entity][1]})
+    record = crossmap.reader(df, rules.entities[entity][1])
+    return crossmap.nest({r.target: transforms.apply(r.transform, record(r.field), r.config, record) for r in rules.entities[entity][1]})
 
 
 @query("SELECT condition_id, dx_code AS code, coalesce(nullif(dx_description, ''), dx_code) AS text, 'http://hl7.org/fhir/sid/icd-10-cm' AS system FROM conditions WHERE dx_code IS NOT NULL")
