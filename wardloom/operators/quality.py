@@ -17,7 +17,10 @@ REQUEST_INTENT = ("proposal", "plan", "order", "original-order", "reflex-order",
 
 @dataclass(frozen=True)
 class Rule:
-    """A plausibility rule; what it needs besides ``column`` depends on ``kind``."""
+    """A plausibility rule; what it needs besides ``column`` depends on ``kind``.
+
+    ``latest`` is a fixed moment that takes the place of ``after``.
+    """
 
     id: str
     kind: str
@@ -29,6 +32,7 @@ class Rule:
     values: tuple = ()
     before: str = ""
     after: str = ""
+    latest: str = ""
     ref_table: str = ""
     ref_column: str = ""
 
@@ -67,12 +71,14 @@ def _figures(rule: Rule) -> tuple[Column, Column]:
         return F.count(col), F.count_if(~col.cast("string").rlike(f"^(?:{rule.pattern})"))
     if rule.kind == "enum":
         return F.count(col), F.count_if(~col.isin(*rule.values))
-    before, after = moment(F.col(f"`{rule.before}`")), moment(F.col(f"`{rule.after}`"))
+    before, after = moment(F.col(f"`{rule.before}`")), moment(F.lit(rule.latest) if rule.latest else F.col(f"`{rule.after}`"))
     return F.count_if(before.isNotNull() & after.isNotNull()), F.count_if(before > after)
 
 
 def _needs(rule: Rule) -> set[str]:
-    return {rule.before, rule.after} if rule.kind == "temporal_order" else {rule.column}
+    if rule.kind == "temporal_order":
+        return {rule.before} if rule.latest else {rule.before, rule.after}
+    return {rule.column}
 
 
 def evaluate(df: DataFrame, rules: Iterable[Rule], refs: Mapping[str, DataFrame] | None = None) -> DataFrame:
@@ -133,8 +139,8 @@ def domain_match(df: DataFrame, column: str, concepts: DataFrame, domain: str, r
     return sums.select(F.inline(F.array(_result(Rule(rule_id, "enum", column), F.col("t"), F.col("f")))))
 
 
-def coded_rules(entity: str, year: int = 2026) -> list[Rule]:
-    """Built-in rules of an entity."""
+def coded_rules(entity: str, year: int = 2026, today: str = "2026-01-01") -> list[Rule]:
+    """Built-in rules of an entity; ``today`` is the last birth date that isn't in the future."""
     table = {
         "person": [
             Rule("age_in_range", "range", "year_of_birth", "warn", year - 125, year),
@@ -145,7 +151,7 @@ def coded_rules(entity: str, year: int = 2026) -> list[Rule]:
             Rule("condition_dates", "temporal_order", before="condition_start_date", after="condition_end_date"),
             Rule("condition_fk", "fk_exists", "condition_concept_id", ref_table="concept", ref_column="concept_id"),
         ],
-        "Patient": [Rule("birthdate_not_future", "temporal_order", before="birthDate", after="today")],
+        "Patient": [Rule("birthdate_not_future", "temporal_order", before="birthDate", latest=today)],
         "Observation": [Rule("observation_status", "enum", "status", values=OBSERVATION_STATUS)],
         "MedicationRequest": [Rule("request_intent", "enum", "intent", values=REQUEST_INTENT)],
     }
