@@ -13,15 +13,19 @@ SYSTEMS = {
     "RxNorm": "http://www.nlm.nih.gov/research/umls/rxnorm",
     "ICD10CM": "http://hl7.org/fhir/sid/icd-10-cm",
     "ICD10": "http://hl7.org/fhir/sid/icd-10",
+    "ICD10PCS": "http://www.cms.gov/Medicare/Coding/ICD10",
     "ICD9CM": "http://hl7.org/fhir/sid/icd-9-cm",
     "CPT4": "http://www.ama-assn.org/go/cpt",
     "HCPCS": "https://www.cms.gov/Medicare/Coding/HCPCSReleaseCodeSets",
     "NDC": "http://hl7.org/fhir/sid/ndc",
     "ATC": "http://www.whocc.no/atc",
     "CVX": "http://hl7.org/fhir/sid/cvx",
+    "Gender": "http://hl7.org/fhir/administrative-gender",
+    "Race": "http://terminology.hl7.org/CodeSystem/v3-Race",
+    "Ethnicity": "http://terminology.hl7.org/CodeSystem/v3-Ethnicity",
     "UCUM": "http://unitsofmeasure.org",
 }
-TERMINOLOGIES = {"SNOMED": "SNOMED-CT", "LOINC": "LOINC", "RxNorm": "RxNorm", "ICD10CM": "ICD10-CM", "ICD10": "ICD10", "ATC": "ATC", "UCUM": "UCUM"}
+TERMINOLOGIES = {"SNOMED": "SNOMED-CT", "LOINC": "LOINC", "RxNorm": "RxNorm", "ICD10CM": "ICD10-CM", "ICD10": "ICD10", "ICD10PCS": "ICD10-PCS", "ICD9CM": "ICD9-CM", "CPT4": "CPT4", "HCPCS": "HCPCS", "NDC": "NDC", "ATC": "ATC", "UCUM": "UCUM"}
 
 
 def relation(c: Column) -> Column:
