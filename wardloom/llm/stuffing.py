@@ -1,7 +1,7 @@
 """Keyword-stuffed pages and link lists, told from sentences by word statistics of the corpus.
 
-Words, and pairs of neighbouring words, are counted over all documents in a
-sketch of fixed size. A page is cut into blocks (lines; runs of short lines
+Words, and pairs of neighbouring words, are counted exactly over all
+documents. A page is cut into blocks (lines; runs of short lines
 together). Per block two figures count: the mean normalised pointwise mutual
 information of its neighbouring words, taken from the other documents only,
 which is low where words follow each other without grammar; and the largest
@@ -23,7 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, ROWS = 1 << 20, 2  # of the sketch, for words and for pairs each: fixed, whatever the corpus
+from wardloom.session import discard, materialize
+
+HELD = 4_000_000  # counts up to which every worker holds them all
 COMMON = 0.006  # words above this share of all words are nobody's keyword
 SHORT = 16  # lines of fewer words join their neighbours in one block
 LEAST = 6  # words a block needs to be judged
@@ -128,47 +130,61 @@ class Batch:
         self.pair = self.word[self.left] * np.uint64(0x9E3779B97F4A7C15) + self.word[self.right]
 
 
-def _slot(codes: np.ndarray, row: int) -> np.ndarray:
-    """Places of codes in row ``row`` of the sketch."""
-    h = codes * np.uint64((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[row])
-    return (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(44)
+class Counts:
+    """Exact counts of words (kind 0) and pairs (kind 1): sorted codes and their counts. A code that isn't listed counts once."""
 
+    def __init__(self, kinds: np.ndarray, codes: np.ndarray, n: np.ndarray, total: tuple[int, int]):
+        self.total, self.listed = total, []
+        for kind in (0, 1):
+            c, m = codes[kinds == kind].view(np.uint64), n[kinds == kind]
+            order = np.argsort(c)
+            self.listed.append((c[order], m[order]))
 
-class Sketch:
-    """Counts of words (kind 0) and pairs (kind 1): count-mean-min over ROWS rows of SLOTS."""
+    def count(self, kind: int, codes: np.ndarray) -> np.ndarray:
+        known, n = self.listed[kind]
+        if not len(known):
+            return np.ones(len(codes))
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[at] == codes, n[at], 1).astype(float)
 
-    def __init__(self, cells: np.ndarray, values: np.ndarray):
-        self.table = np.zeros((2, ROWS, SLOTS), np.int64)
-        self.table.reshape(-1)[cells] = values
-        self.total = self.table.sum(2)[:, 0]
 
-    def count(self, kind: int, codes: np.ndarray) -> np.ndarray:
-        got = [self.table[kind, r, _slot(codes, r).astype(np.int64)] for r in range(ROWS)]
-        low = np.minimum(*got).astype(float)
-        return np.maximum(low - (self.total[kind] - low) / (SLOTS - 1), np.minimum(low, 1.0))
+def _pieces(columns: list[np.ndarray], names: list[str], size: int = 200_000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), size):
+        yield pa.record_batch([pa.array(c[i : i + size]) for c in columns], names)
 
 
-def count_corpus(texts: DataFrame) -> Sketch:
-    """The sketch of all texts in column ``text``: added up per task, then per cell."""
+def count_corpus(texts: DataFrame) -> DataFrame:
+    """``(kind, code, n)``: how often each word and pair stands in column ``text``, added up per batch, per task, then in all."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, ROWS, SLOTS), np.int64)
         for record in batches:
             b = Batch(record.column(0).to_pylist())
             for kind, codes in ((0, b.word), (1, b.pair)):
-                for r in range(ROWS):
-                    table[kind, r] += np.bincount(_slot(codes, r).astype(np.int64), minlength=SLOTS)
-        flat = table.reshape(-1)
-        cells = np.flatnonzero(flat)
-        for i in range(0, len(cells), 200_000):
-            part = cells[i : i + 200_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(flat[part])], ["cell", "n"])
+                code, n = np.unique(codes, return_counts=True)
+                yield from _pieces([np.full(len(code), kind, np.int32), code.view(np.int64), n.astype(np.int64)], ["kind", "code", "n"])
+
+    return texts.mapInArrow(tally, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+
 
-    counted = texts.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    return Sketch(counted.column("cell").to_numpy(), counted.column("n").to_numpy())
+def with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``texts(id, text)`` with ``known``: the counts of each text's own words and pairs, by joins, for tables no worker holds."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            for i, text in enumerate(record.column(1).to_pylist()):
+                b = Batch([text])
+                for kind, found in ((0, b.word), (1, b.pair)):
+                    code = np.unique(found).view(np.int64)
+                    page = np.full(len(code), record.column(0)[i].as_py(), np.int64)
+                    yield from _pieces([page, np.full(len(code), kind, np.int32), code], ["page", "kind", "code"])
+
+    pages = texts.withColumn("page", F.xxhash64("text"))
+    needed = pages.select("page", "text").dropDuplicates(["page"]).mapInArrow(codes, "page long, kind int, code long")
+    known = needed.join(counts, ["kind", "code"]).groupBy("page").agg(F.collect_list(F.struct("kind", "code", "n")).alias("known"))
+    return pages.join(known, "page", "left").select("id", "text", "known")
 
 
-def judge(b: Batch, sketch: Sketch) -> pd.DataFrame:
+def judge(b: Batch, counts: Counts) -> pd.DataFrame:
     """Per page of a batch: words (a link or tag counts as one), words in spam, and the lowest NPMI of a block."""
     n = np.bincount(b.block, minlength=b.blocks).astype(float)
     doc_of = np.zeros(b.blocks, np.int64)
@@ -187,16 +203,16 @@ def judge(b: Batch, sketch: Sketch) -> pd.DataFrame:
         out[order] = np.bincount(group)[group]
         return out
 
-    total = max(float(sketch.total[0]), 2.0)
-    words = np.maximum(sketch.count(0, b.word) - own(b.word, b.doc), 1.0)
-    pairs = np.maximum(sketch.count(1, b.pair) - own(b.pair, b.doc[b.left]), 0.1)
+    total = max(float(counts.total[0]), 2.0)
+    words = np.maximum(counts.count(0, b.word) - own(b.word, b.doc), 1.0)
+    pairs = np.maximum(counts.count(1, b.pair) - own(b.pair, b.doc[b.left]), 0.1)
     npmi = np.log(pairs * total / (words[b.left] * words[b.right])) / -np.log(np.minimum(pairs / total, 0.5))
     at = b.block[b.left]
     m = np.bincount(at, minlength=b.blocks)
     mean = np.where(m > 0, np.bincount(at, npmi, minlength=b.blocks) / np.maximum(m, 1), 1.0)
     # largest share of one uncommon word
     top = np.zeros(b.blocks)
-    rare = (sketch.count(0, b.word) < COMMON * total) & (b.word & np.uint64(1) == 1)
+    rare = (counts.count(0, b.word) < COMMON * total) & (b.word & np.uint64(1) == 1)
     in_block = own(b.word, b.block)
     np.maximum.at(top, b.block[rare], in_block[rare])
     share = top / np.maximum(n, 1)
@@ -223,26 +239,44 @@ def judge(b: Batch, sketch: Sketch) -> pd.DataFrame:
     )
 
 
-def stuffed(documents: DataFrame, key: str, text: str) -> DataFrame:
+def stuffed(documents: DataFrame, key: str, text: str, held: int = HELD) -> DataFrame:
     """``(id, words, spam, links, tags)`` of every page with words.
 
     A page is spam where ``spam * 2 > words``. Null keys and null, empty or
     wordless texts give no row; repeated rows stay. Pages of any length are
-    read whole.
+    read whole. Counts of more than ``held`` words and pairs are joined to the
+    pages, fewer are sent to all workers; the results are the same.
     """
-    texts = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    sketch = documents.sparkSession.sparkContext.broadcast(count_corpus(texts.select(F.col(text).alias("text"))))
+    texts = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    counts = materialize(count_corpus(texts.select("text")), "counts")
+    size, *sums = counts.agg(F.count("*"), *(F.sum(F.when(F.col("kind") == k, F.col("n"))) for k in (0, 1))).first()
+    total = (sums[0] or 0, sums[1] or 0)
+    out = "id long, words long, spam long, links long, tags long"
+
+    def judged(record: pa.RecordBatch, known: Counts) -> pa.RecordBatch:
+        found = judge(Batch(record.column(1).to_pylist()), known)
+        kept = np.flatnonzero(found["words"].to_numpy() > 0)
+        part = found.iloc[kept]
+        return pa.record_batch([record.column(0).take(pa.array(kept))] + [pa.array(part[c].to_numpy()) for c in part], ["id", *part.columns])
+
+    if size > held:
+
+        def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for record in batches:
+                flat = record.column(2).flatten()
+                kind, code, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                _, at = np.unique(np.stack([kind.astype(np.int64), code]), axis=1, return_index=True)
+                yield judged(record, Counts(kind[at], code[at], n[at], total))
+
+        return with_counts(texts, counts).mapInArrow(run_joined, out)
+
+    table = counts.toArrow()  # at most ``held`` rows
+    discard(counts)
+    known = Counts(*(table.column(c).to_numpy() for c in ("kind", "code", "n")), total)
+    shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            found = judge(Batch(record.column(1).to_pylist()), sketch.value)
-            kept = np.flatnonzero(found["words"].to_numpy() > 0)
-            part = found.iloc[kept]
-            yield pa.record_batch(
-                [record.column(0).take(pa.array(kept))] + [pa.array(part[c].to_numpy()) for c in part],
-                ["id", *part.columns],
-            )
-
-    return texts.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, words long, spam long, links long, tags long"
-    )
+            yield judged(record, shared.value)
+
+    return texts.mapInArrow(run, out)
