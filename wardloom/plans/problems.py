@@ -25,6 +25,8 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
         F.col("node").alias("concept_id"),
         F.col("root").alias("root_concept_id"),
         "depth",
+        "steps",
+        "from_cycle",
         F.array_join(F.col("path").cast("array<string>"), ">").alias("path"),
     )
 
@@ -33,6 +35,13 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.resolve(_links(spark, d), paths=True))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every parent-child link with the part of the hierarchy it lies in; cycles and unused links show here."""
+    links = _links(spark, d)
+    report = hierarchy.link_report(links, hierarchy.resolve(links))
+    return report.withColumnsRenamed({"node": "concept_id", "parent": "parent_concept_id"})
+
+
 def _harmonised(spark: SparkSession, d: str) -> DataFrame:
     return units.harmonise(table(spark, d, "observations"), table(spark, d, "unit_reference"))
 
@@ -112,7 +121,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_paths, p1_descendants, p4_found, p4_common, p5_found, p6_found, p6_report)
+    for f in (p1_found, p1_paths, p1_descendants, p1_links, p4_found, p4_common, p5_found, p6_found, p6_report)
 }
 
 _LINKS = """
@@ -127,29 +136,24 @@ raw AS (
 ), ends AS (SELECT node FROM e UNION SELECT parent FROM e),
 """
 _TREE = """
-tree AS (
-  SELECT node, node AS root, CAST(0 AS BIGINT) AS depth, CAST(node AS VARCHAR) AS path
-  FROM ends WHERE node NOT IN (SELECT node FROM e)
+walk AS (  -- upwards from each node, around a cycle once
+  SELECT node AS start, node, CAST(0 AS BIGINT) AS steps, [node] AS seen FROM ends
   UNION ALL
-  SELECT e.node, t.root, t.depth + 1, t.path || '>' || CAST(e.node AS VARCHAR)
-  FROM tree t JOIN e ON e.parent = t.node
-), rest AS (SELECT node FROM ends WHERE node NOT IN (SELECT node FROM tree)),
-walk AS (
-  SELECT node AS start, node FROM rest
-  UNION
-  SELECT w.start, e.parent FROM walk w JOIN e ON e.node = w.node
+  SELECT w.start, e.parent, w.steps + 1, list_append(w.seen, e.parent)
+  FROM walk w JOIN e ON e.node = w.node WHERE NOT list_contains(w.seen, e.parent)
 ), ring AS (
   SELECT DISTINCT w.start AS node FROM walk w JOIN e ON e.node = w.node AND e.parent = w.start
+), top AS (  -- where a way upwards must end: the root, or the smallest id of the cycle
+  SELECT w.start AS node, coalesce(min(w.node) FILTER (w.node IN (SELECT node FROM ring)), max(w.node) FILTER (w.node NOT IN (SELECT node FROM e))) AS root,
+    min(w.steps) FILTER (w.node IN (SELECT node FROM ring)) AS from_cycle
+  FROM walk w GROUP BY w.start
 ), found AS (
-  SELECT node, root, depth, path FROM tree
-  UNION ALL
-  SELECT w.start, min(w.node), CAST(CASE WHEN w.start IN (SELECT node FROM ring) THEN -1 ELSE -2 END AS BIGINT),
-    CAST(w.start AS VARCHAR)
-  FROM walk w JOIN ring USING (node) GROUP BY w.start
+  SELECT t.node, t.root, CASE WHEN from_cycle = 0 THEN -1 WHEN from_cycle > 0 THEN -2 ELSE w.steps END AS depth,
+    w.steps, t.from_cycle, array_to_string(list_reverse(w.seen), '>') AS path
+  FROM top t JOIN walk w ON w.start = t.node AND w.node = t.root
 )
 """
 
-
 def _units_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(sym)})" for sym, keys in U.SPELLINGS.items() for k in keys)
@@ -211,10 +215,10 @@ refs AS (
 
 ORACLE = {
     "p1_found": "SELECT node AS concept_id, root AS root_concept_id, depth FROM found",
-    "p1_paths": "SELECT node AS concept_id, root AS root_concept_id, depth, path FROM found",
-    "p1_descendants": "SELECT a.node AS ancestor, d.node AS descendant, d.depth - a.depth AS distance "
-    "FROM found a JOIN found d ON a.root = d.root AND d.depth > a.depth AND a.depth >= 0 "
-    "AND starts_with(d.path, a.path || '>')",
+    "p1_paths": "SELECT node AS concept_id, root AS root_concept_id, depth, steps, from_cycle, path FROM found",
+    "p1_descendants": "SELECT node AS ancestor, start AS descendant, steps AS distance FROM walk WHERE steps > 0",
+    "p1_links": "SELECT e.node AS concept_id, e.parent AS parent_concept_id, CASE WHEN from_cycle = 0 THEN 'on cycle' "
+    "WHEN from_cycle > 0 THEN 'below cycle' ELSE 'tree' END AS status FROM e JOIN found USING (node)",
     "p4_found": _units_sql(),
     "p5_found": """
 WITH ev AS (SELECT DISTINCT condition_id, replace(upper(trim(dx_code)), '.', '') AS code, onset_date FROM conditions),
@@ -231,5 +235,5 @@ SELECT DISTINCT condition_id, revision_id FROM m WHERE n = 1
     "p6_report": _ORPHANS
     + 'SELECT table_name, period, kind, count(*) AS "references" FROM found WHERE kind IS NOT NULL GROUP BY ALL',
 }
-for _name in ("p1_found", "p1_paths", "p1_descendants"):
+for _name in ("p1_found", "p1_paths", "p1_descendants", "p1_links"):
     ORACLE[_name] = _LINKS + _TREE + ORACLE[_name]

@@ -62,16 +62,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = guard(df.sparkSession)
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by :func:`materialize` that no later plan reads."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        root = scratch_dir(df.sparkSession)
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if name.replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(conf).delete(path, True)
+        path = getattr(df, "scratch", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
