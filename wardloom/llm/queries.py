@@ -12,14 +12,15 @@ from wardloom.plans.tables import table
 def _linked(spark: SparkSession, d: str) -> DataFrame:
     canonical, synonyms = table(spark, d, "canonical_concept"), table(spark, d, "concept_synonym")
     parts = []
-    for name, record, text, terms, numbers in (
-        ("conditions", "condition_id", "dx_description", linking.disorder_terms, False),
-        ("medications", "medication_id", "med_description", linking.product_terms, True),
+    for name, record, text, domain, shortest in (
+        ("conditions", "condition_id", "dx_description", "Condition", 4),
+        ("medications", "medication_id", "med_description", "Drug", 5),
     ):
+        terms = linking.reference_terms(canonical.where(F.col("domain_id") == domain), synonyms, shortest)
         values = table(spark, d, name).select(
             F.lit(name).alias("table_name"), F.col(record).alias("record_id"), F.col(text).alias("typed")
         )
-        parts.append(linking.link(values.distinct(), "typed", *terms(canonical, synonyms), numbers))
+        parts.append(linking.link(values.distinct(), "typed", *terms))
     return parts[0].unionByName(parts[1])
 
 
