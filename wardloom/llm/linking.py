@@ -187,6 +187,7 @@ def reference_terms(canonical: DataFrame, synonyms: DataFrame, shortest: int = 4
         """,
         syn=syn,
     )
+    lay = materialize(lay, "lay")
     words = spark.sql(
         """
         WITH own AS (
@@ -213,7 +214,7 @@ def reference_terms(canonical: DataFrame, synonyms: DataFrame, shortest: int = 4
     pairs = spark.sql(
         "SELECT first, second, concept_id, w, count(*) OVER (PARTITION BY first, second) > 1 AS shared FROM {keys}", keys=keys
     )
-    return materialize(_variants(spark, words), "terms"), materialize(pairs, "pairs")
+    return materialize(_variants(spark, materialize(words, "words")), "terms"), materialize(pairs, "pairs")
 
 
 def near_terms(grams: DataFrame, terms: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def link(values: DataFrame, text: str, terms: DataFrame, pairs: DataFrame) -> Da
         near=near,
         often=often,
     )
-    matched = cheapest(near)
+    matched = materialize(cheapest(near), "matched")
     found = spark.sql(
         """
         SELECT tid, collect_list(struct(kind, ident, cost)) AS hits FROM (
@@ -358,6 +359,7 @@ def link(values: DataFrame, text: str, terms: DataFrame, pairs: DataFrame) -> Da
         numbers=numbers,
         numbered=numbered,
     )
+    marks = materialize(marks, "marks")
     counting = spark.sql(
         """
         SELECT tid, transform(if(size(strong) > 0, strong, bare), x -> struct('second' AS kind, x AS ident, 0D AS cost)) AS counts FROM (
