@@ -301,16 +301,16 @@ def link(values: DataFrame, text: str, terms: DataFrame, pairs: DataFrame) -> Da
         F.greatest(F.max("words"), F.lit(3)).alias("most"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("words") > 3, F.sequence(F.length("term") - F.col("k"), F.length("term") + F.col("k")))))).alias("long"),
     )
-    # grams that no term can reach by length are left out
+    # grams that no term can reach by length are left out; each text's own are distinct
     grams = spark.sql(
         """
-        SELECT DISTINCT tid, gram FROM (
-          SELECT tid, n, array_join(slice(w, i, n), '') AS gram, r.*
-          FROM (SELECT tid, filter(w, x -> NOT x rlike '^[0-9_]+$') AS w FROM {texts}) CROSS JOIN {reach} r
-          LATERAL VIEW explode(sequence(1, size(w))) AS i
-          LATERAL VIEW explode(sequence(1, most)) AS n
-          WHERE size(w) > 0 AND i + n - 1 <= size(w)
-        ) WHERE length(gram) BETWEEN greatest(shortest, 1) AND longest AND (n <= 3 OR array_contains(long, length(gram)))
+        SELECT tid, explode(array_distinct(transform(
+          filter(
+            flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, least(most, size(w) - i + 1)),
+              n -> struct(n AS n, array_join(slice(w, i, n), '') AS gram)))),
+            g -> length(g.gram) BETWEEN greatest(shortest, 1) AND longest AND (g.n <= 3 OR array_contains(long, length(g.gram)))),
+          g -> g.gram))) AS gram
+        FROM (SELECT tid, filter(w, x -> NOT x rlike '^[0-9_]+$') AS w FROM {texts}) CROSS JOIN {reach} r WHERE size(w) > 0
         """,
         texts=texts,
         reach=reach,
