@@ -79,8 +79,22 @@ def test_edge_cases(spark):
     assert leakage.leaks(nothing, items, "doc_id", "item_id", "text", "item_text").count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    docs = [(k, " ".join(w), None) for k, w in ITEMS.items()]
-    whole = run(spark, docs)
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 150)
-    assert run(spark, docs) == whole == sorted(((k, k) for k in ITEMS), key=str)
+def test_items_of_any_length(spark):
+    """Whole copies from one word on, and copies with one word in seven replaced, dropped or added."""
+    rng = random.Random(3)
+    big = [f"x{i}" for i in range(3000)]
+    items, docs, want = [], [], []
+    for k, n in enumerate([1, 2, 4, 5, 7, 11] + [n for n in (8, 10, 12, 14, 16, 20, 24, 30, 40, 60) for _ in range(10)]):
+        item = rng.sample(big, n)
+        items.append((k, " ".join(item)))
+        part = list(item)
+        if k >= 6:
+            for at in rng.sample(range(n), n // 7):
+                part[at] = rng.choice(["", "changed", part[at] + " added"])
+        around = [f"y{rng.randrange(500)}" for _ in range(40)]
+        docs.append((k, " ".join(around[:20] + part + around[20:] if k % 2 else part), None))
+        want.append((k, k))
+    got = set(run(spark, docs, items))
+    assert got <= set(want) | {(d, i) for d, i in got if len(items[i][1].split()) < 5}
+    missed = set(want) - got
+    assert not {k for k, _ in missed if k < 6} and len(missed) <= 2

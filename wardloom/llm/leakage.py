@@ -3,11 +3,14 @@
 CGK embedding: a random walk over the words of a window copies a word per step
 and moves on by a coin drawn from the word, so windows a few edits apart agree
 in most steps (edit distance becomes Hamming distance). Locality-sensitive keys
-sample some of the steps, several times over. Windows are as long as the
-shortest passage that counts; they are taken at every word of every text and
-of every item, so an unchanged run of that length collides with certainty and
-an edited copy of an item, which offers a window at each of its words, all but
-surely. What collides is verified exactly.
+sample a few of the steps, many times over. Windows are as long as the items,
+in classes of length: an item offers the windows of the longest class that fits
+into it, a text offers a window of every class at each of its words, unless too
+few of the window's word pairs occur in any item for an edited copy to be there.
+Quotes, which are shorter than items, share a run of RUN words; runs collide by
+a key over all their words. The corpus is read once: keys that pass a bit table
+of all item keys, of fixed size, are joined to the item keys, and what meets
+there is verified exactly.
 """
 
 from __future__ import annotations
@@ -19,11 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.session import discard, materialize
+
 RUN = 12  # successive words that count as a leak
 EDITS = 0.2  # edits per item word up to which an edited copy counts; one in seven may be changed
-REPEATS = 3  # independent walks
-STEPS, TAKEN = 22, 8  # steps of a walk, steps sampled into its key
-BLOCK_WORDS = 1_000_000  # item words held by a task at once
+WALKS, SETS = 10, 4  # independent walks, samples of steps of each
+TAKEN = 4  # steps in a sample; one fewer in windows under RUN words
+EXACT = 5  # items of fewer words must occur unchanged
+BITS = 26  # the bit table of item keys has 2 ** BITS bits, whatever the number of items
+CELLS = 8_000_000  # steps of walks held at once
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: Column) -> Column:
@@ -43,65 +51,141 @@ def coded(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _walks(seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(REPEATS):
-        coins = rng.integers(0, 1 << 32, STEPS, dtype=np.uint32) | np.uint32(1)
-        taken = np.sort(rng.choice(STEPS, TAKEN, replace=False))
-        out.append((coins, taken))
+def _classes(longest: int) -> list[int]:
+    """Window lengths, each about a fifth longer than the one before."""
+    out, n = [], 1
+    while n <= longest:
+        out.append(n)
+        n = max(n + 1, n * 6 // 5)
     return out
 
 
-def keys(symbols: np.ndarray, starts: np.ndarray, seed: int = 3) -> np.ndarray:
-    """One key per walk and start: (REPEATS, len(starts)). ``symbols`` are 32-bit codes, RUN more than the last start."""
-    out = np.zeros((REPEATS, len(starts)), np.uint64)
-    end = starts + RUN
-    for r, (coins, taken) in enumerate(_walks(seed)):
-        at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-        taken = set(taken.tolist())
-        for j in range(max(taken) + 1):
+def _steps(width: int, seed: int = 3) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Per walk: its coins, and the steps of each sample. Same everywhere for one width."""
+    rng = np.random.default_rng([seed, width])
+    length = max(2, 2 * width - 2)
+    taken = TAKEN if width >= RUN else TAKEN - 1
+    return [
+        (
+            rng.integers(0, 1 << 32, length, dtype=np.uint32) | np.uint32(1),
+            [np.sort(rng.choice(length, min(taken, length), replace=False)) for _ in range(SETS)],
+        )
+        for _ in range(WALKS)
+    ]
+
+
+def _salt(n: int) -> np.uint64:
+    return np.uint64(n * int(_MIX) % (1 << 64))
+
+
+def run_keys(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A key over all ``width`` words from each start."""
+    key = np.full(len(starts), _salt(width))
+    for j in range(width):
+        key = (key ^ flat[starts + j].view(np.uint64)) * _MIX
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def walk_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Keys of the windows of ``width`` words, none beyond ``ends``: (WALKS * SETS, len(starts))."""
+    symbols = (flat >> 32).astype(np.uint32)
+    end = np.minimum(starts + width, ends)
+    out = np.empty((WALKS * SETS, len(starts)), np.uint64)
+    for r, (coins, sets) in enumerate(_steps(width)):
+        last = max(int(s[-1]) for s in sets)
+        seen = np.empty((last + 1, len(starts)), np.uint32)
+        at = starts.copy()
+        for j in range(last + 1):
             inside = at < end
-            s = np.where(inside, symbols[np.minimum(at, end - 1)], np.uint32(0))
-            if j in taken:
-                key = (key ^ s) * np.uint64(0x9E3779B97F4A7C15)
+            seen[j] = np.where(inside, symbols[np.minimum(at, end - 1)], np.uint32(0))
+            at += ((seen[j] * coins[j]) >> np.uint32(31)).astype(at.dtype) & inside
+        for q, taken in enumerate(sets):
+            key = np.full(len(starts), _salt(1_000_003 + (width * WALKS + r) * SETS + q))
+            for j in taken:
+                key = (key ^ seen[j]) * _MIX
                 key ^= key >> np.uint64(29)
-            at += ((s * coins[j]) >> np.uint32(31)).astype(at.dtype) & inside
-        out[r] = key
+            out[r * SETS + q] = key
     return out
 
 
-class Items:
-    """Keys of every window of a block of items, sorted, with a bit table in front."""
-
-    BITS = 22
-
-    def __init__(self, ids: list[int], texts: list[np.ndarray]):
-        kept = [(i, w) for i, w in zip(ids, texts) if len(w)]
-        self.ids = np.array([i for i, _ in kept], np.int64)
-        self.words = [w for _, w in kept]
-        self.sets = [frozenset(w.tolist()) for w in self.words]
-        self.lengths = np.array([len(w) for w in self.words])
-        self.flat = np.concatenate([*self.words, np.zeros(RUN, np.int64)])
-        self.first = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        spots = [f + np.arange(n - RUN + 1) for f, n in zip(self.first, self.lengths) if n >= RUN]
-        self.at = np.concatenate(spots) if spots else np.zeros(0, np.int64)
-        self.item = np.searchsorted(self.first, self.at, side="right") - 1
-        found = keys((self.flat >> 32).astype(np.uint32), self.at)
-        self.order = found.argsort(1)
-        self.sorted = np.take_along_axis(found, self.order, 1)
-        self.maybe = np.zeros((REPEATS, 1 << self.BITS), bool)
-        for r in range(REPEATS):
-            self.maybe[r, found[r] & np.uint64((1 << self.BITS) - 1)] = True
-
-    def collisions(self, found: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of start, index of item window) of every pair with equal keys in walk ``r``."""
-        hit = np.flatnonzero(self.maybe[r, found & np.uint64((1 << self.BITS) - 1)])
-        lo = np.searchsorted(self.sorted[r], found[hit], "left")
-        n = np.searchsorted(self.sorted[r], found[hit], "right") - lo
-        who = np.repeat(hit, n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return who, self.order[r, np.repeat(lo, n) + step]
+class Filter:
+    """Bits of a set of keys, two per key."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << (BITS - 3), np.uint8) if bits is None else bits
+
+    @staticmethod
+    def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
+        for shift in (0, 32):
+            yield (keys >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+
+    def add(self, keys: np.ndarray) -> None:
+        for at in self._places(keys):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(keys.shape, bool)
+        for at in self._places(keys):
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return out
+
+
+def item_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(keys, spots)`` of one item: its runs (spot: first word) and its windows (spot: -1)."""
+    n = len(words)
+    keys, spots = [], []
+    run = RUN if n >= EXACT else n
+    if n >= run > 0:
+        at = np.arange(n - run + 1)
+        keys.append(run_keys(words, at, run))
+        spots.append(at)
+    if n >= EXACT:
+        width = max(c for c in _classes(n) if c <= n)
+        at = np.arange(n - width + 1)
+        found = np.unique(walk_keys(words, at, np.full(len(at), n), width))
+        keys.append(found)
+        spots.append(np.full(len(found), -1))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(spots)
+
+
+def pair_codes(words: np.ndarray) -> np.ndarray:
+    """A code for each two neighbouring words."""
+    w = words.view(np.uint64)
+    return (w[:-1] * _MIX) ^ (w[1:] >> np.uint64(1))
+
+
+def text_hits(offsets: np.ndarray, flat: np.ndarray, keys: Filter, pairs: Filter, widths: list[int], runs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, start)`` of the windows of a batch that may meet an item: text d has words flat[offsets[d]:offsets[d + 1]]."""
+    size = np.diff(offsets)
+    ends = np.repeat(offsets[1:], size)
+    every = np.arange(len(flat))
+    found, at = [], []
+
+    def keep(got: np.ndarray, starts: np.ndarray) -> None:
+        hit = np.flatnonzero(keys.holds(got))
+        found.append(got[hit])
+        at.append(starts[hit])
+
+    for run in runs:
+        starts = every[every + run <= ends]
+        keep(run_keys(flat, starts, run), starts)
+    if widths and len(flat):
+        known = np.concatenate([[0], np.cumsum(pairs.holds(pair_codes(flat)))])
+        for width in widths:
+            # an edit takes two pairs from a copy; a copy may end with the text
+            edits = int(EDITS * (width * 6 // 5 + 1))
+            end = np.minimum(every + width, ends)
+            starts = every[(known[end - 1] - known[every] >= end - every - 1 - 2 * edits) & (end - every >= width - edits)]
+            step = CELLS // (2 * width)
+            for piece in (starts[i : i + step] for i in range(0, len(starts), step)):
+                for got in walk_keys(flat, piece, ends[piece], width):
+                    keep(got, piece)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(at)
 
 
 def within(item: np.ndarray, text: np.ndarray) -> int:
@@ -116,103 +200,133 @@ def within(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
-def scan(ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, items: Items) -> set[tuple[int, int]]:
-    """(document, item) pairs that leak in a batch: document d has words flat[offsets[d]:offsets[d + 1]]."""
-    size = np.diff(offsets)
-    many = np.maximum(size - RUN + 1, 0)
-    if not many.sum() or not len(items.at):
-        return set()
-    doc = np.repeat(np.arange(len(ids)), many)
-    starts = np.repeat(offsets[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    found = keys((flat >> 32).astype(np.uint32), starts)
-    pairs, leaks = [], set()
-    n_windows = len(items.at)
-    every = None
-    for r in range(REPEATS):
-        who, win = items.collisions(found[r], r)
-        code = who.astype(np.int64) * n_windows + win
-        every = code if every is None else np.intersect1d(every, code, assume_unique=True)
-        pairs.append(np.unique(who.astype(np.int64) * len(items.ids) + items.item[win]))
-    # an unchanged run collides in every walk
-    p, q = starts[every // n_windows], items.at[every % n_windows]
-    same = np.ones(len(every), bool)
-    for j in range(RUN):
-        same &= flat[p + j] == items.flat[q + j]
-    for e in every[same]:
-        leaks.add((int(ids[doc[e // n_windows]]), int(items.ids[items.item[e % n_windows]])))
-    # an edited copy collides here and there along its length
-    near = np.unique(np.concatenate(pairs))
-    spot, item = near // len(items.ids), near % len(items.ids)
-    order = np.lexsort((spot, item, doc[spot]))
-    spot, item = spot[order], item[order]
-    at, d = starts[spot], doc[spot]
-    gap = np.ones(len(at), bool)
-    gap[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > items.lengths[item[1:]])
-    begin = np.flatnonzero(gap)
-    end = np.append(begin[1:], len(at))
-    for b, e in zip(begin, end):
-        if e - b < 2:
-            continue
-        k, x = int(item[b]), int(d[b])
-        pair = (int(ids[x]), int(items.ids[k]))
-        if pair in leaks:
-            continue
-        reach = int(items.lengths[k] * (1 + EDITS)) + 1
-        text = flat[max(offsets[x], at[b] - reach) : min(offsets[x + 1], at[e - 1] + reach)]
-        allowed = int(items.lengths[k] * EDITS)
-        have = set(text.tolist())
-        # each edit touches one word: too few of the item's words in reach rule a copy out
-        if len(items.sets[k] - have) > allowed:
-            continue
-        if within(items.words[k], text) <= allowed:
-            leaks.add(pair)
-    return leaks
+def leaked(text: np.ndarray, item: np.ndarray, spots: list[tuple[int, int]]) -> bool:
+    """Whether ``text`` holds a run or an edited copy of ``item`` where windows met: (start, first word of the run or -1)."""
+    run = RUN if len(item) >= EXACT else len(item)
+    for start, first in spots:
+        if first >= 0 and np.array_equal(text[start : start + run], item[first : first + run]):
+            return True
+    allowed = int(len(item) * EDITS)
+    reach = len(item) + allowed + 1
+    needed = frozenset(item.tolist())
+    begin = end = None
+    for start in [*sorted({s for s, _ in spots}), None]:
+        if end is not None and (start is None or start - reach > end):
+            part = text[max(0, begin - reach) : end + reach]
+            # each edit touches one word: too few of the item's words in reach rule a copy out
+            if len(needed.difference(part.tolist())) <= allowed and within(item, part) <= allowed:
+                return True
+            begin = None
+        if start is not None:
+            begin, end = start if begin is None else begin, start
+    return False
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str, item_text: str) -> DataFrame:
     """``(doc, item)`` of every document that holds RUN successive words of an item or an edited copy of it.
 
-    Items pass through in blocks of BLOCK_WORDS words, each against all
-    documents without a shuffle. Null keys, null or empty texts and items
-    shorter than RUN words give no rows; repeated rows give one. A document of
-    any length is read whole.
+    An edited copy is within EDITS word edits per word of the whole item;
+    items of fewer than EXACT words must occur unchanged. Null keys and null,
+    empty or wordless texts give no rows; repeated rows give one. Texts of any
+    length are read whole, and items of any number are found in one pass over
+    the documents.
     """
     spark = documents.sparkSession
-    texts = coded(documents, doc, text)
-    found = None
-    for block in _blocks(coded(items, item, item_text).distinct()):
-        bc = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                lists = batch.column(1)
-                offsets = lists.offsets.to_numpy().astype(np.int64)
-                flat = lists.values.to_numpy()
-                got = sorted(scan(batch.column(0).to_numpy(), offsets, flat, bc.value))
+    wanted = materialize(coded(items, item, item_text).distinct().where(F.size("w") > 0), "items")
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, w in zip(batch.column(0).to_pylist(), _arrays(batch.column(1))):
+                key, spot = item_windows(w)
                 yield pa.record_batch(
-                    [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())],
-                    ["doc", "item"],
+                    [pa.array(key.view(np.int64)), pa.array(np.full(len(key), i)), pa.array(spot)], ["key", "item", "spot"]
                 )
 
-        part = texts.mapInArrow(search, "doc long, item long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    offered = materialize(wanted.mapInArrow(offer, "key long, item long, spot long"), "offered")
+    sizes = [r["n"] for r in wanted.select(F.size("w").alias("n")).distinct().collect()]  # item lengths, few
+    if not sizes:
         return spark.createDataFrame([], "doc long, item long")
-    return found.distinct()
-
-
-def _blocks(items: DataFrame) -> Iterator[Items]:
-    """Items read in order, a partition at a time, in blocks of bounded size."""
-    ids, texts, total = [], [], 0
-    for row in items.toLocalIterator():
-        w = np.array(row["w"], np.int64)
-        if ids and total + len(w) > BLOCK_WORDS:
-            yield Items(ids, texts)
-            ids, texts, total = [], [], 0
-        ids.append(row["id"])
-        texts.append(w)
-        total += len(w)
-    if ids:
-        yield Items(ids, texts)
+    widths = sorted({max(c for c in _classes(n) if c <= n) for n in sizes if n >= EXACT})
+    runs = sorted({RUN if n >= EXACT else n for n in sizes})
+    keys = spark.sparkContext.broadcast(_filter(offered.select("key")))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in _arrays(batch.column(1)):
+                yield pa.record_batch([pa.array(pair_codes(w).view(np.int64))], ["key"])
+
+    pairs_of_items = spark.sparkContext.broadcast(_filter(wanted.mapInArrow(beside, "key long")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            if not len(flat):
+                continue
+            key, start = text_hits(offsets, flat, keys.value, pairs_of_items.value, widths, runs)
+            if not len(key):
+                continue
+            row = np.searchsorted(offsets, start, "right") - 1
+            order = np.argsort(row, kind="stable")
+            row, key, start = row[order], key[order], start[order] - offsets[row[order]]
+            rows, first = np.unique(row, return_index=True)
+            cuts = pa.array(np.append(first, len(row)).astype(np.int32))
+            yield pa.record_batch(
+                [
+                    batch.column(0).take(pa.array(rows)),
+                    lists.take(pa.array(rows)),
+                    pa.ListArray.from_arrays(cuts, pa.array(key.view(np.int64))),
+                    pa.ListArray.from_arrays(cuts, pa.array(start)),
+                ],
+                ["doc", "w", "keys", "starts"],
+            )
+
+    met = materialize(
+        coded(documents, doc, text).mapInArrow(search, "doc long, w array<long>, keys array<long>, starts array<long>")
+        .withColumn("text", F.xxhash64("doc", "w")),
+        "met",
+    )
+    pairs = (
+        met.select("text", F.explode(F.arrays_zip("keys", "starts")).alias("k"))
+        .select("text", F.col("k.keys").alias("key"), F.col("k.starts").alias("start"))
+        .join(offered, "key")
+        .groupBy("text", "item")
+        .agg(F.collect_set(F.struct("start", "spot")).alias("spots"))
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, passages = _arrays(batch.column(2)), _arrays(batch.column(3))
+            spots = batch.column(4).to_pylist()
+            good = [leaked(t, p, [(s["start"], s["spot"]) for s in where]) for t, p, where in zip(texts, passages, spots)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return (
+        pairs.join(met.select("text", "doc", "w"), "text")
+        .join(wanted.select(F.col("id").alias("item"), F.col("w").alias("passage")), "item")
+        .select("doc", "item", "w", "passage", "spots")
+        .mapInArrow(verify, "doc long, item long")
+        .distinct()
+    )
+
+
+def _filter(keys: DataFrame) -> Filter:
+    """The bit table of a column of keys: one per partition, united here."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter()
+        for batch in batches:
+            own.add(np.unique(batch.column(0).to_numpy()).view(np.uint64))
+        yield pa.record_batch([pa.array([own.bits.tobytes()], pa.binary())], ["bits"])
+
+    out = Filter()
+    for row in keys.coalesce(64).mapInArrow(mark, "bits binary").toLocalIterator():
+        out.bits |= np.frombuffer(row["bits"], np.uint8)
+    return out
