@@ -131,24 +131,32 @@ class Filter:
         return out
 
 
-def item_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(keys, spots)`` of one item: its runs (spot: first word) and its windows (spot: -1)."""
-    n = len(words)
-    keys, spots = [], []
-    run = RUN if n >= EXACT else n
-    if n >= run > 0:
-        at = np.arange(n - run + 1)
-        keys.append(run_keys(words, at, run))
-        spots.append(at)
-    if n >= EXACT:
-        width = max(c for c in _classes(n) if c <= n)
-        at = np.arange(n - width + 1)
-        found = np.unique(walk_keys(words, at, np.full(len(at), n), width))
-        keys.append(found)
-        spots.append(np.full(len(found), -1))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(spots)
+def item_windows(offsets: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, item, spot)`` of a batch of items: their runs (spot: first word) and their windows (spot: -1)."""
+    size = np.diff(offsets)
+    out = []
+
+    def spots(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Item and place of every window that lies whole in one of the items ``which``."""
+        many = size[which] - width + 1
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(which, many), at
+
+    runs = np.where(size >= EXACT, RUN, size)
+    for run in np.unique(runs[(runs > 0) & (size >= runs)]).tolist():
+        item, at = spots(np.flatnonzero((runs == run) & (size >= run)), run)
+        out.append((run_keys(flat, offsets[item] + at, run), item, at))
+    classes = np.array(_classes(int(size.max(initial=1))))
+    widths = np.where(size >= EXACT, classes[np.searchsorted(classes, np.maximum(size, 1), "right") - 1], 0)
+    for width in np.unique(widths[widths > 0]).tolist():
+        item, at = spots(np.flatnonzero(widths == width), width)
+        for got in walk_keys(flat, offsets[item] + at, offsets[item + 1], width):
+            out.append((got, item, np.full(len(item), -1)))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, item, spot = (np.concatenate(c) for c in zip(*out))
+    once = np.unique(np.stack([item.astype(np.uint64), key, spot.astype(np.int64).view(np.uint64)]), axis=1, return_index=True)[1]
+    return key[once], item[once], spot[once]
 
 
 def pair_codes(words: np.ndarray) -> np.ndarray:
@@ -227,6 +235,11 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], column.values.to_numpy()[offsets[0] : offsets[-1]]
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str, item_text: str) -> DataFrame:
     """``(doc, item)`` of every document that holds RUN successive words of an item or an edited copy of it.
 
@@ -241,11 +254,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, w in zip(batch.column(0).to_pylist(), _arrays(batch.column(1))):
-                key, spot = item_windows(w)
-                yield pa.record_batch(
-                    [pa.array(key.view(np.int64)), pa.array(np.full(len(key), i)), pa.array(spot)], ["key", "item", "spot"]
-                )
+            if batch.num_rows:
+                key, item, spot = item_windows(*_flat(batch.column(1)))
+                yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(item)), pa.array(spot)], ["key", "item", "spot"])
 
     offered = materialize(wanted.mapInArrow(offer, "key long, item long, spot long"), "offered")
     sizes = [r["n"] for r in wanted.select(F.size("w").alias("n")).distinct().collect()]  # item lengths, few
@@ -265,9 +276,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
+            offsets, flat = _flat(lists)
             if not len(flat):
                 continue
             key, start = text_hits(offsets, flat, keys.value, pairs_of_items.value, widths, runs)
