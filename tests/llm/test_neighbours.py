@@ -67,10 +67,39 @@ def test_nothing_to_find(spark, pairs):
     assert found(frame(spark, pairs), 2, 5) == {}
 
 
-def test_leaf_larger_than_a_block_is_cut(spark, monkeypatch):
-    monkeypatch.setattr(nb, "BLOCK_ROWS", 50)
+@pytest.mark.parametrize("block, asks, large, leaf", [(50, 65_536, 4000, 1000), (50, 20, 30, 1000), (400, 60, 60, 25)])
+def test_half_of_all_rows_close_together(spark, monkeypatch, block, asks, large, leaf):
+    """Leaves cut into blocks, blocks copied for parts of their queries, and trees within leaves change nothing."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", block)
+    monkeypatch.setattr(nb, "BLOCK_ASKS", asks)
+    monkeypatch.setattr(nb, "LARGE_LEAF", large)
+    monkeypatch.setattr(nb, "LEAF_ROWS", leaf)
     rng = np.random.default_rng(4)
-    v = (np.ones(6) + 0.05 * rng.normal(size=(300, 6))).astype(np.float32)
-    ids = list(range(300))
+    v = np.vstack([np.ones(6) + 0.05 * rng.normal(size=(300, 6)), rng.normal(size=(300, 6))]).astype(np.float32)
+    ids = list(range(600))
     want, got = brute(ids, v, 4), found(frame(spark, zip(ids, v)), 6, 4)
     assert sum(len(want[i] & got[i]) for i in ids) / (4 * len(ids)) >= 0.97
+
+
+def test_queue_hands_out_the_nearest_first_and_all_within_the_margin():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 5)).astype(np.float32)
+    tree = nb.Tree(x, 40)
+    assert tree.levels > 2 and sorted(set(tree.home(x).tolist())) == list(range(len(tree.node_of)))
+    tree.inner[:], tree.slack = 0.8, np.float32(0.5)
+    row, leaf = tree.visits(x[:200])
+    node, way = tree.descend(x[:200])
+    for i in range(200):
+        got = leaf[row == i]
+        assert got[0] == tree.leaf_of[node[i]]
+        want = set()
+        for n in tree.node_of:
+            up, inside = n, True
+            while up > 0:
+                d = np.linalg.norm(x[i] - tree.centres[up])
+                end = tree.many[up] == 0
+                inside &= d - way[i, -1 if end else tree.depth[up]] <= (0.5 if end else 0.8) + 1e-4
+                up = tree.parent[up]
+            if inside:
+                want.add(int(tree.leaf_of[n]))
+        assert set(got.tolist()) ^ want == set() and len(got) == len(set(got.tolist()))

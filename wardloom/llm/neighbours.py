@@ -1,13 +1,16 @@
 """Most similar vectors for every vector: a hierarchical k-means tree walked best bin first.
 
-The tree has two broadcast levels (branches and leaves, at most MAX_LEAVES
-centres in all). Every vector lies in its nearest leaf. A query takes leaves
-from a priority queue ordered by distance to their centres and stops where the
-distance exceeds that of its nearest leaf by a margin; the margin is widened
-until the leaves visited hold the wanted share of the true neighbours of
-sample queries, found by brute force. Neighbouring leaves share a block, one
-task's unit of work, so a query travels once per block, not once per leaf;
-a leaf larger than a block is cut into several.
+The tree splits a sample until its leaves are small, so its depth follows the
+data. Every vector lies in the leaf its nearest children lead to. A query walks
+the tree through a priority queue of nodes, the nearest first: it opens inner
+nodes and visits leaves until the nearest node left lies beyond a margin over
+the query's own way down. The margins are widened until the leaves visited hold
+the wanted share of the true neighbours of sample queries, found by brute
+force. Neighbouring leaves share a block, one task's unit of work, so a query
+travels once per block, not once per leaf; a leaf larger than a block is cut
+into several, and a block that many queries visit is copied for parts of them,
+so a group holds a bounded number of rows on both sides. Within a large leaf
+the walk goes on in a tree of its own.
 """
 
 from __future__ import annotations
@@ -21,12 +24,15 @@ from pyspark.sql import functions as F
 
 from wardloom.session import materialize
 
-SAMPLE = 60_000  # vectors the tree is fitted on, at most
-MAX_LEAVES = 8192
-LEAF_ROWS = 400  # rows a leaf should hold, while MAX_LEAVES allows
+SAMPLE, MOST_SAMPLE = 60_000, 500_000  # vectors the tree is fitted on: a fiftieth of all within these bounds
+LEAST_LEAF = 8  # sample vectors a leaf holds at least; bounds the tree at MOST_SAMPLE / LEAST_LEAF leaves (12 MB of 48 values)
+LEAF_ROWS = 1000  # rows a leaf should hold
+FANOUT = 16  # children of a node, at most
+LARGE_LEAF = 4 * LEAF_ROWS  # rows of a leaf in a block above which the leaf gets a tree of its own
 BLOCK_ROWS = 8192  # rows a block holds, about
+BLOCK_ASKS = 65_536  # queries a copy of a block should get, about
 PROBES = 600  # sample queries for calibration
-CELLS = 2_000_000  # distances held at once
+PIECE = 4096  # queries walked at once
 ROUND = 7  # digits to which similarities are compared
 
 
@@ -47,97 +53,189 @@ def _units(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Centres of at most ``k`` non-empty clusters (k-means with farthest-first reseeding of empty ones)."""
+    """The cluster of each row, of at most ``k`` (k-means with farthest-first reseeding of empty ones)."""
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         d = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
         at = d.argmin(1)
         n = np.bincount(at, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
+        member = np.zeros((k, len(x)), np.float32)
+        member[at, np.arange(len(x))] = 1
+        sums = member @ x
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
         if (n == 0).any():
             far = d[np.arange(len(x)), at].argsort()[::-1][: int((n == 0).sum())]
             centres[n == 0] = x[far]
-    at = ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
-    return centres[np.unique(at)]
+    return ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
 
 
 class Tree:
-    """Branch centres, leaf centres and the branch each leaf hangs from."""
+    """Nodes by number: centre, parent, depth, children; node 0 is the root. Leaves are numbered side by side."""
 
-    def __init__(self, sample: np.ndarray, leaves: int, seed: int = 7):
+    def __init__(self, x: np.ndarray, leaf: int, seed: int = 7):
+        """Splits until nodes hold at most ``leaf`` rows of ``x`` or rows that no split parts."""
         rng = np.random.default_rng(seed)
-        x = sample.astype(np.float32)
-        self.branches = _kmeans(x, max(1, round(leaves**0.5)), 8, rng)
-        at = self._squares(x, self.branches).argmin(1)
-        parts, owner = [], []
-        for b in range(len(self.branches)):
-            own = x[at == b]
-            if len(own):
-                c = _kmeans(own, max(1, round(leaves * len(own) / len(x))), 8, rng)
-                parts.append(c)
-                owner.append(np.full(len(c), b))
-        self.leaves, self.owner = np.vstack(parts), np.concatenate(owner)
-        self.slack, self.reach = np.float32(0), np.float32(np.inf)
-
-    @staticmethod
-    def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)
-
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """Distance to every leaf centre.
-
-        Branches are opened best first; those farther than the nearest by more
-        than ``reach`` stay closed: their leaves are infinitely far.
-        """
         x = x.astype(np.float32)
-        to_branch = np.sqrt(self._squares(x, self.branches))
-        opened = to_branch <= to_branch.min(1, keepdims=True) + self.reach
-        if opened.mean() > 0.5:
-            out = np.sqrt(self._squares(x, self.leaves))
-            out[~opened[:, self.owner]] = np.inf
-            return out
-        out = np.full((len(x), len(self.leaves)), np.inf, np.float32)
-        for b in np.flatnonzero(opened.any(0)):
-            who, own = np.flatnonzero(opened[:, b]), np.flatnonzero(self.owner == b)
-            out[np.ix_(who, own)] = np.sqrt(self._squares(x[who], self.leaves[own]))
-        return out
-
-    def _chunks(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Rows in pieces whose distances to all leaves take a bounded amount of memory."""
-        step = max(16, CELLS // len(self.leaves))
-        for i in range(0, len(x), step):
-            yield i, self.distances(x[i : i + step])
-
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        return np.concatenate([d.argmin(1) for _, d in self._chunks(x)]).astype(np.int32)
+        centres, parents, depths, kids = [x.mean(0)], [-1], [0], {}
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            if len(rows) <= leaf:
+                continue
+            fit = rows if len(rows) <= 20_000 else rng.choice(rows, 20_000, replace=False)
+            at = _kmeans(x[fit], min(FANOUT, max(2, -(-len(rows) // leaf))), 8, rng)
+            centre = np.stack([x[fit[at == c]].mean(0) for c in np.unique(at)])
+            if len(centre) < 2:
+                continue
+            at = ((centre * centre).sum(1)[None, :] - 2 * x[rows] @ centre.T).argmin(1)
+            kids[node] = (len(centres), len(centre))
+            for c in range(len(centre)):
+                stack.append((len(centres), rows[at == c]))
+                centres.append(centre[c])
+                parents.append(node)
+                depths.append(depths[node] + 1)
+        self.centres, self.parent, self.depth = np.stack(centres), np.array(parents), np.array(depths)
+        self.first = np.array([kids.get(i, (0, 0))[0] for i in range(len(centres))])
+        self.many = np.array([kids.get(i, (0, 0))[1] for i in range(len(centres))])
+        self.levels = int(self.depth.max()) + 1
+        # leaves in the order of a walk down, so that neighbours in the tree are neighbours in number
+        self.leaf_of, self.node_of, stack = np.full(len(centres), -1), [], [0]
+        while stack:
+            node = stack.pop()
+            if self.many[node]:
+                stack.extend(range(self.first[node], self.first[node] + self.many[node]))
+            else:
+                self.leaf_of[node] = len(self.node_of)
+                self.node_of.append(node)
+        self.node_of = np.array(self.node_of)
+        self.squares = (self.centres * self.centres).sum(1)
+        self.inner = np.full(self.levels, np.inf, np.float32)  # margins of inner nodes by depth
+        self.slack = np.float32(np.inf)  # margin of leaves
+
+    def _distances(self, x: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(child, distance) of the children of each row's node; absent children are infinitely far."""
+        if len(nodes) and (nodes == nodes[0]).all():
+            child = np.broadcast_to(self.first[nodes[0]] + np.arange(self.many[nodes[0]]), (len(x), self.many[nodes[0]]))
+            d = self.squares[child[0]][None, :] - 2 * x @ self.centres[child[0]].T
+        else:
+            wide = int(self.many[nodes].max(initial=1))
+            child = self.first[nodes][:, None] + np.arange(wide)
+            there = np.arange(wide) < self.many[nodes][:, None]
+            child = np.where(there, child, 0)
+            d = self.squares[child] - 2 * np.matmul(self.centres[child], x[:, :, None])[:, :, 0]
+            d[~there] = np.inf
+        return child, np.sqrt(np.maximum(d + (x * x).sum(1)[:, None], 0))
+
+    def descend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf node of each row, by nearest children, and the distances on the way by depth (the last repeated)."""
+        x = x.astype(np.float32)
+        node, way = np.zeros(len(x), np.int64), np.zeros((len(x), self.levels), np.float32)
+        for level in range(1, self.levels):
+            go = np.flatnonzero(self.many[node])
+            way[:, level] = way[:, level - 1]
+            if not len(go):
+                continue
+            # rows of one node together: one product per node
+            child, d = self._distances(x[go], node[go])
+            best = d.argmin(1)
+            node[go] = child[np.arange(len(go)), best]
+            way[go, level] = d[np.arange(len(go)), best]
+        return node, way
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The number of the leaf each row lies in."""
+        parts = [self.leaf_of[self.descend(x[i : i + PIECE])[0]] for i in range(0, len(x), PIECE)]
+        return np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of the leaves each row takes from its queue."""
+        """(row, leaf) of the leaves each row takes from its queue, the nearest first."""
         rows, leaves = [], []
-        for i, d in self._chunks(x):
-            r, leaf = np.nonzero(d <= d.min(1, keepdims=True) + self.slack)
+        for i in range(0, len(x), PIECE):
+            r, leaf = self._walk(x[i : i + PIECE].astype(np.float32))
             rows.append(r + i)
             leaves.append(leaf)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(leaves)
 
-    def calibrate(self, probes: np.ndarray, neighbours: np.ndarray, of: np.ndarray, recall: float) -> None:
-        """Widen branches, then leaves, until they hold ``recall`` of the probes' neighbours."""
-
-        def widened(to: np.ndarray, home: np.ndarray, share: float) -> np.float32:
-            need = np.sort(to[of, home] - to.min(1)[of])
-            need[~np.isfinite(need)] = 0  # behind a closed branch: no margin of leaves helps
-            need.sort()
-            return np.float32(need[min(len(need) - 1, int(np.ceil(share * len(need))))] + 1e-4)
+    def _keys(self, way: np.ndarray, nodes: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Distances over the query's own way down, in margins: what lies above 1 is not visited."""
+        deep = self.depth[nodes]
+        leaf = self.many[nodes] == 0
+        own = np.where(leaf, way[:, -1:], np.take_along_axis(way, deep, 1))
+        return (d - own) / np.where(leaf, self.slack, self.inner[deep])
+
+    def _walk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, way = self.descend(x)
+        if self.levels == 1:
+            return np.arange(len(x)), np.zeros(len(x), np.int64)
+        live = np.arange(len(x))
+        queue_key, queue_node = np.zeros((len(x), 1), np.float32), np.zeros((len(x), 1), np.int64)
+        rows, leaves = [], []
+        while len(live):
+            # everything in the queue lies within the margins: leaves nearer than the nearest inner node leave it, then that node
+            inner = np.where(self.many[queue_node] > 0, queue_key, np.inf)
+            at = inner.argmin(1)
+            every = np.arange(len(live))
+            nearest = inner[every, at]
+            out = (inner == np.inf) & (queue_key <= np.minimum(nearest, 1)[:, None])
+            row, column = np.nonzero(out)
+            order = np.lexsort((queue_key[row, column], row))
+            rows.append(live[row[order]])
+            leaves.append(self.leaf_of[queue_node[row[order], column[order]]])
+            queue_key[out] = np.inf
+            go = np.flatnonzero(nearest <= 1)
+            live, queue_key, queue_node = live[go], queue_key[go], queue_node[go]
+            if not len(go):
+                break
+            at = at[go]
+            every = np.arange(len(go))
+            node = queue_node[every, at]
+            queue_key[every, at] = np.inf
+            child, d = self._distances(x[live], node)
+            keys = self._keys(way[live], child, d)
+            queue_key = np.hstack([queue_key, np.where(keys <= 1, keys, np.inf)])
+            queue_node = np.hstack([queue_node, child])
+            used = int(np.isfinite(queue_key).sum(1).max(initial=0))
+            if queue_key.shape[1] > used + FANOUT:  # room of entries that have left
+                keep = np.argpartition(queue_key, min(used, queue_key.shape[1] - 1), axis=1)[:, : max(used, 1)]
+                queue_key, queue_node = np.take_along_axis(queue_key, keep, 1), np.take_along_axis(queue_node, keep, 1)
+        return np.concatenate(rows), np.concatenate(leaves)
 
-        home = self.nearest(neighbours)
-        to_branch = np.sqrt(self._squares(probes.astype(np.float32), self.branches))
-        self.reach = widened(to_branch, self.owner[home], 1 - (1 - recall) / 4)
-        home = self.nearest(neighbours)
-        self.slack = widened(self.distances(probes), home, recall)
+    def calibrate(self, probes: np.ndarray, neighbours: np.ndarray, of: np.ndarray, recall: float) -> None:
+        """Widen the margins of inner nodes, then of leaves, until visits hold ``recall`` of the probes' neighbours."""
+        if self.levels == 1:
+            return
+        probes = probes.astype(np.float32)
+        _, way = self.descend(probes)
+        node = self.descend(neighbours.astype(np.float32))[0]
+        needs = []
+        while (node > 0).any():
+            deep = self.depth[node]
+            d = np.sqrt(np.maximum(((probes[of] - self.centres[node]) ** 2).sum(1), 0))
+            own = np.where(self.many[node] == 0, way[of, -1], way[of, deep])
+            needs.append((node.copy(), d - own))
+            node = np.where(node > 0, self.parent[node], 0)
+
+        def widened(need: np.ndarray, share: float) -> np.float32:
+            need = np.sort(need)
+            return np.float32(max(need[min(len(need) - 1, int(np.ceil(share * len(need))))], 0) + 1e-4) if len(need) else np.float32(1e-4)
+
+        loss = (1 - recall) / 2
+        for level in range(1, self.levels):
+            at = np.concatenate([need[(n > 0) & (self.depth[n] == level) & (self.many[n] > 0)] for n, need in needs])
+            self.inner[level] = widened(at, 1 - loss / self.levels)
+        self.slack = widened(np.concatenate([need[(n > 0) & (self.many[n] == 0)] for n, need in needs]), 1 - loss)
+        self.inner[0] = 1
+        while True:
+            held = np.ones(len(of), bool)
+            for n, need in needs:
+                margin = np.where(self.many[n] == 0, self.slack, self.inner[self.depth[n]])
+                held &= (n == 0) | (need <= margin)
+            if held.mean() >= recall:
+                return
+            self.slack, self.inner = self.slack * np.float32(1.1), self.inner * np.float32(1.1)
 
 
 def _probe_truth(vectors: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int, dim: int) -> tuple:
@@ -181,28 +279,26 @@ def _probe_truth(vectors: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int
     return top.column(0).to_numpy(), _units(top.column(1).combine_chunks(), dim)
 
 
-def plant(vectors: DataFrame, k: int, dim: int, recall: float) -> Tree | None:
-    """A tree fitted on at most about SAMPLE vectors and a margin (``slack``) calibrated to ``recall``."""
+def plant(vectors: DataFrame, k: int, dim: int, recall: float) -> tuple[Tree | None, np.ndarray, float]:
+    """A tree fitted on a bounded sample with margins calibrated to ``recall``, the sample, and its share of all rows."""
     n = vectors.count()
     if n == 0:
-        return None
-    mark = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
-    rate = min(1.0, SAMPLE / n)
-    got = vectors.where(mark < int(rate * 1_000_000)).toArrow() if rate < 1 else vectors.toArrow()
+        return None, np.zeros((0, dim)), 1.0
+    mark = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000_000))
+    rate = min(1.0, max(SAMPLE, min(MOST_SAMPLE, n // 50)) / n)
+    got = vectors.where(mark < int(rate * 1_000_000_000)).toArrow() if rate < 1 else vectors.toArrow()
     ids, at = np.unique(got.column(0).to_numpy(), return_index=True)
     sample = _units(got.column(1).combine_chunks(), dim)[at]
-    leaves = int(min(MAX_LEAVES, max(1, n / LEAF_ROWS), max(1, len(sample) / 8)))
-    tree = Tree(sample, leaves)
+    tree = Tree(sample, max(LEAST_LEAF, round(LEAF_ROWS * rate)))
     rng = np.random.default_rng(11)
     pick = rng.choice(len(sample), min(PROBES, len(sample)), replace=False)
     probe, neighbour = _probe_truth(vectors, sample[pick], ids[pick], k, dim)
-    if len(probe) == 0:
-        return tree
-    tree.calibrate(sample[pick], neighbour, probe, recall)
-    return tree
+    if len(probe):
+        tree.calibrate(sample[pick], neighbour, probe, recall)
+    return tree, sample, rate
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recall: float = 0.997) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recall: float = 0.998) -> DataFrame:
     """``(id, neighbour, sim)``: the ``k`` most similar others of every usable vector by cosine.
 
     ``recall`` is the share of true neighbours the walk is calibrated to.
@@ -214,7 +310,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
     """
     spark = df.sparkSession
     vectors = usable(df, key, vector, dim)
-    tree = plant(vectors, k, dim, recall)
+    tree, sample, rate = plant(vectors, k, dim, recall)
     if tree is None:
         return spark.createDataFrame([], "id long, neighbour long, sim double")
     bc = spark.sparkContext.broadcast(tree)
@@ -225,7 +321,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
             if not batch.num_rows:
                 continue
             v = _units(batch.column(1), dim)
-            leaf = tree.nearest(v)
+            leaf = tree.home(v)
             # equal directions of any length meet in one key; borders of rounding only split a group
             grid = np.ascontiguousarray(np.round(v, 5) + 0.0)
             bits = grid.view(np.uint64).reshape(grid.shape)
@@ -278,99 +374,110 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
             .distinct()
             .select("id", "neighbour", F.lit(1.0).alias("sim"))
         )
-    sizes = {r["leaf"]: r["n"] for r in searched.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    blocks, of_leaf = _pack(tree, sizes)
-    bb = spark.sparkContext.broadcast(of_leaf)
+    sizes = {r["leaf"]: r["n"] for r in searched.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
+    blocks, first_block, n_blocks = _pack(len(tree.node_of), sizes)
+    parts = _parts(tree, sample, rate, blocks, first_block, n_blocks)
+    bb = spark.sparkContext.broadcast((first_block, n_blocks, parts))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (first_block, n_blocks) = bc.value, bb.value
+        tree, (first_block, n_blocks, parts) = bc.value, bb.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, leaf = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            v = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, dim)
-            # the vector itself goes to one of its leaf's blocks
-            own = first_block[leaf] + (ids % n_blocks[leaf])
-            row, at = tree.visits(v)
-            to = first_block[at]
-            extra = n_blocks[at]
-            many = extra > 1
-            rows = [row[~many]]
-            tos = [to[~many]]
-            for r, b, e in zip(row[many], to[many], extra[many]):
-                rows.append(np.full(e, r))
-                tos.append(np.arange(b, b + e))
-            row, to = np.concatenate(rows), np.concatenate(tos)
-            pair = np.unique(row.astype(np.int64) * (1 << 32) + to)
-            row, to = pair >> 32, pair & ((1 << 32) - 1)
-            is_point = np.zeros(len(row), bool)
-            home = np.searchsorted(pair, np.arange(len(ids), dtype=np.int64) * (1 << 32) + own)
-            hit = (home < len(pair)) & (pair[np.minimum(home, len(pair) - 1)] == np.arange(len(ids), dtype=np.int64) * (1 << 32) + own)
-            is_point[home[hit]] = True
-            asks = np.ones(len(row), bool)
-            if not hit.all():  # its own leaf lies beyond the margin of rounding: sent as a point only
-                lost = np.flatnonzero(~hit)
-                row, to = np.concatenate([row, lost]), np.concatenate([to, own[lost]])
-                is_point = np.concatenate([is_point, np.ones(len(lost), bool)])
-                asks = np.concatenate([asks, np.zeros(len(lost), bool)])
-            yield pa.record_batch(
-                [
-                    pa.array(to.astype(np.int32)),
-                    pa.array(ids[row]),
-                    pa.array(leaf[row]),
-                    pa.array(is_point),
-                    pa.array(asks),
-                    batch.column(3).take(pa.array(row)),
-                ],
-                ["block", "id", "leaf", "is_point", "asks", "unit"],
-            )
+            for i in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(i, PIECE)
+                ids, leaf = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+                v = np.frombuffer(b"".join(piece.column(3).to_pylist()), np.float32).reshape(-1, dim)
+                row, at = tree.visits(v)
+                # queries: one row per block they visit, with the leaves wanted there
+                times = n_blocks[at]
+                row, at = np.repeat(row, times), np.repeat(at, times)
+                block = first_block[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((at, block, row))
+                row, at, block = row[order], at[order], block[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+                begin = np.flatnonzero(new)
+                q_row, q_block = row[begin], block[begin]
+                q_part = (ids[q_row] // 7) % parts[q_block]
+                # points: one row per copy of their block
+                own = first_block[leaf] + ids % n_blocks[leaf]
+                p_row = np.repeat(np.arange(len(ids)), parts[own])
+                p_block = own[p_row]
+                p_part = np.arange(len(p_row)) - np.repeat(np.cumsum(parts[own]) - parts[own], parts[own])
+                wanted = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(p_row) + 1, np.int32)), pa.array([], pa.int32()))
+                both = np.concatenate([q_row, p_row])
+                yield pa.record_batch(
+                    [
+                        pa.array(np.concatenate([q_block, p_block]).astype(np.int32)),
+                        pa.array(np.concatenate([q_part, p_part]).astype(np.int32)),
+                        pa.array(ids[both]),
+                        pa.array(np.concatenate([np.full(len(q_row), -1), leaf[p_row]]).astype(np.int32)),
+                        pa.concat_arrays([wanted, none]),
+                        piece.column(3).take(pa.array(both)),
+                    ],
+                    ["block", "part", "id", "leaf", "wanted", "unit"],
+                )
 
     def search(table: pa.Table) -> pa.Table:
-        tree = bc.value
-        ids = table.column("id").to_numpy()
+        table = table.combine_chunks()
+        ids, leaf = table.column("id").to_numpy(), table.column("leaf").to_numpy()
         v = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(-1, dim)
-        leaf, point = table.column("leaf").to_numpy(), table.column("is_point").to_numpy()
-        asks = table.column("asks").to_numpy()
-        _, once = np.unique(ids[point], return_index=True)
-        pts = np.flatnonzero(point)[once]
-        _, once = np.unique(ids[asks], return_index=True)
-        qs = np.flatnonzero(asks)[once]
-        asker, asked = tree.visits(v[qs])
-        order = np.argsort(asked, kind="stable")
-        asker, asked = asker[order], asked[order]
-        best_sim = np.full((len(qs), k + 1), -2.0, np.float64)
-        best_id = np.full((len(qs), k + 1), np.iinfo(np.int64).max)
-        for b in np.unique(leaf[pts]):
-            own = pts[leaf[pts] == b]
-            who = asker[np.searchsorted(asked, b, "left") : np.searchsorted(asked, b, "right")]
+        lists = table.column("wanted").combine_chunks()
+        many = lists.value_lengths().to_numpy()
+        asker, asked = np.repeat(np.arange(len(ids)), many), lists.flatten().to_numpy()
+        points, queries = np.flatnonzero(leaf >= 0), np.flatnonzero(leaf < 0)
+        points = points[np.unique(ids[points], return_index=True)[1]]
+        number = np.full(len(ids), -1)  # rows sent twice ask once
+        queries = queries[np.unique(ids[queries], return_index=True)[1]]
+        number[queries] = np.arange(len(queries))
+        asked, asker = asked[number[asker] >= 0], number[asker[number[asker] >= 0]]
+        best_sim = np.full((len(queries), k + 1), -2.0, np.float64)
+        best_id = np.full((len(queries), k + 1), np.iinfo(np.int64).max)
+
+        def compare(who: np.ndarray, own: np.ndarray) -> None:
+            """Queries ``who`` against points ``own``."""
             for s in range(0, len(own), 4096):
                 mine = own[s : s + 4096]
                 for t in range(0, len(who), 512):
                     ask = who[t : t + 512]
-                    sim = v[qs[ask]] @ v[mine].T
+                    sim = v[queries[ask]] @ v[mine].T
                     m = min(k + 3, sim.shape[1])
                     part = np.argpartition(-sim, m - 1, axis=1)[:, :m]
                     # the few finalists again in double precision
-                    exact = np.einsum("qd,qmd->qm", v[qs[ask]].astype(np.float64), v[mine][part].astype(np.float64))
+                    exact = np.einsum("qd,qmd->qm", v[queries[ask]].astype(np.float64), v[mine][part].astype(np.float64))
                     cand_sim = np.hstack([best_sim[ask], exact.round(ROUND)])
                     cand_id = np.hstack([best_id[ask], ids[mine][part]])
-                    cand_sim[cand_id == ids[qs[ask]][:, None]] = -2.0
+                    cand_sim[cand_id == ids[queries[ask]][:, None]] = -2.0
                     order = np.lexsort((cand_id, -cand_sim), axis=1)[:, : k + 1]
                     best_sim[ask] = np.take_along_axis(cand_sim, order, 1)
                     best_id[ask] = np.take_along_axis(cand_id, order, 1)
+
+        order = np.argsort(asked, kind="stable")
+        asker, asked = asker[order], asked[order]
+        points = points[np.argsort(leaf[points], kind="stable")]
+        for b in np.unique(leaf[points]):
+            own = points[np.searchsorted(leaf[points], b, "left") : np.searchsorted(leaf[points], b, "right")]
+            who = asker[np.searchsorted(asked, b, "left") : np.searchsorted(asked, b, "right")]
+            if len(own) <= large or not len(who):
+                compare(who, own)
+                continue
+            sub = _subtree(v[own], k, recall)
+            home = sub.home(v[own])
+            row, at = sub.visits(v[queries[who]])
+            for c in np.unique(at):
+                compare(who[row[at == c]], own[home == c])
         row, col = np.nonzero(best_sim[:, :k] > -2)
         return pa.table(
             {
-                "id": pa.array(ids[qs][row]),
+                "id": pa.array(ids[queries][row]),
                 "neighbour": pa.array(best_id[row, col]),
                 "sim": pa.array(best_sim[row, col]),
             }
         )
 
-    routed = searched.mapInArrow(
-        route, "block int, id long, leaf int, is_point boolean, asks boolean, unit binary"
-    )
-    partial = routed.groupBy("block").applyInArrow(search, "id long, neighbour long, sim double")
+    large = LARGE_LEAF
+    routed = searched.mapInArrow(route, "block int, part int, id long, leaf int, wanted array<int>, unit binary")
+    partial = routed.groupBy("block", "part").applyInArrow(search, "id long, neighbour long, sim double")
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
     answers = (
         partial.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
@@ -378,12 +485,12 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
     return answers.unionByName(crowd_answers) if crowd_answers is not None else answers
 
 
-def _pack(tree: Tree, sizes: dict[int, int]) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
-    """Leaves of one branch side by side in blocks of about BLOCK_ROWS; a larger leaf gets several blocks."""
-    n = np.array([sizes.get(i, 0) for i in range(len(tree.leaves))])
+def _pack(leaves: int, sizes: dict[int, int]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of blocks, and per leaf its first block and how many it has; leaves side by side share blocks of about BLOCK_ROWS."""
+    n = np.array([sizes.get(i, 0) for i in range(leaves)])
     first, count = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
     block, filled = 0, 0
-    for i in np.argsort(tree.owner, kind="stable"):
+    for i in range(leaves):
         if n[i] > BLOCK_ROWS:
             block += filled > 0
             count[i] = -(-n[i] // BLOCK_ROWS)
@@ -394,4 +501,27 @@ def _pack(tree: Tree, sizes: dict[int, int]) -> tuple[int, tuple[np.ndarray, np.
             block, filled = block + 1, 0
         first[i] = block
         filled += n[i]
-    return block + 1, (first, count)
+    return int(block) + 1, first, count
+
+
+def _parts(tree: Tree, sample: np.ndarray, rate: float, blocks: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Copies of each block, by the queries it should get: those of part of the sample, carried on to all rows."""
+    some = sample[:: max(1, len(sample) // 4096)]
+    row, leaf = tree.visits(some)
+    times = count[leaf]
+    row = np.repeat(row, times)
+    block = np.repeat(first[leaf], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    asks = np.bincount(np.unique(np.stack([row, block]), axis=1)[1], minlength=blocks) if len(row) else np.zeros(blocks)
+    return np.maximum(1, np.ceil(asks * len(sample) / max(len(some), 1) / rate / BLOCK_ASKS)).astype(np.int64)
+
+
+def _subtree(x: np.ndarray, k: int, recall: float) -> Tree:
+    """A tree within a large leaf, with margins calibrated on the leaf's own points."""
+    tree = Tree(x, LEAF_ROWS)
+    pick = np.random.default_rng(5).choice(len(x), min(64, len(x)), replace=False)
+    sim = x[pick] @ x.T
+    sim[np.arange(len(pick)), pick] = -2
+    m = min(k, len(x) - 1)
+    top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+    tree.calibrate(x[pick], x[top.ravel()], np.repeat(np.arange(len(pick)), m), 1 - (1 - recall) / 2)
+    return tree
