@@ -81,9 +81,10 @@ def test_half_of_all_rows_close_together(spark, monkeypatch, block, asks, large,
     assert sum(len(want[i] & got[i]) for i in ids) / (4 * len(ids)) >= 0.97
 
 
-def test_queue_hands_out_the_nearest_first_and_all_within_the_margin():
+def test_queue_hands_out_the_nearest_first_and_all_within_the_margin(monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 5)).astype(np.float32)
+    monkeypatch.setattr(nb, "FANOUT", 8)
     tree = nb.Tree(x, 40)
     assert tree.levels > 2 and sorted(set(tree.home(x).tolist())) == list(range(len(tree.node_of)))
     tree.inner[:], tree.slack = 0.8, np.float32(0.5)

@@ -1,10 +1,11 @@
 """Most similar vectors for every vector: a hierarchical k-means tree walked best bin first.
 
 The tree splits a sample until its leaves are small, so its depth follows the
-data. Every vector lies in the leaf its nearest children lead to. A query walks
+data. Every vector lies in the
+nearest leaf that a few nearest nodes at each depth lead to. A query walks
 the tree through a priority queue of nodes, the nearest first: it opens inner
 nodes and visits leaves until the nearest node left lies beyond a margin over
-the query's own way down. The margins are widened until the leaves visited hold
+the nearest on the query's own way down. The margins are widened until the leaves visited hold
 the wanted share of the true neighbours of sample queries, found by brute
 force. Neighbouring leaves share a block, one task's unit of work, so a query
 travels once per block, not once per leaf; a leaf larger than a block is cut
@@ -27,7 +28,8 @@ from wardloom.session import materialize
 SAMPLE, MOST_SAMPLE = 60_000, 500_000  # vectors the tree is fitted on: a fiftieth of all within these bounds
 LEAST_LEAF = 8  # sample vectors a leaf holds at least; bounds the tree at MOST_SAMPLE / LEAST_LEAF leaves (12 MB of 48 values)
 LEAF_ROWS = 1000  # rows a leaf should hold
-FANOUT = 16  # children of a node, at most
+FANOUT = 64  # children of a node, at most
+BEAM = 3  # nodes opened at each depth to find the leaf a vector lies in
 LARGE_LEAF = 4 * LEAF_ROWS  # rows of a leaf in a block above which the leaf gets a tree of its own
 BLOCK_ROWS = 8192  # rows a block holds, about
 BLOCK_ASKS = 65_536  # queries a copy of a block should get, about
@@ -128,19 +130,42 @@ class Tree:
         return child, np.sqrt(np.maximum(d + (x * x).sum(1)[:, None], 0))
 
     def descend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The leaf node of each row, by nearest children, and the distances on the way by depth (the last repeated)."""
+        """The leaf node of each row, and the least distance to inner nodes by depth, to leaves last."""
         x = x.astype(np.float32)
-        node, way = np.zeros(len(x), np.int64), np.zeros((len(x), self.levels), np.float32)
+        every = np.arange(len(x))
+        best, node = np.full(len(x), np.inf, np.float32), np.zeros(len(x), np.int64)
+        way = np.full((len(x), self.levels + 1), np.inf, np.float32)
+        beam = np.zeros((len(x), 1), np.int64)
         for level in range(1, self.levels):
-            go = np.flatnonzero(self.many[node])
-            way[:, level] = way[:, level - 1]
-            if not len(go):
-                continue
-            # rows of one node together: one product per node
-            child, d = self._distances(x[go], node[go])
-            best = d.argmin(1)
-            node[go] = child[np.arange(len(go)), best]
-            way[go, level] = d[np.arange(len(go)), best]
+            keys, kids = [], []
+            for b in range(beam.shape[1]):
+                go = np.flatnonzero(beam[:, b] >= 0)
+                if not len(go):
+                    continue
+                child, d = self._distances(x[go], beam[go, b])
+                end = self.many[child] == 0
+                leaf_d = np.where(end, d, np.inf)
+                at = leaf_d.argmin(1)
+                near = leaf_d[np.arange(len(go)), at]
+                closer = near < best[go]
+                best[go[closer]], node[go[closer]] = near[closer], child[np.arange(len(go)), at][closer]
+                key, kid = np.full((len(x), child.shape[1]), np.inf, np.float32), np.full((len(x), child.shape[1]), -1)
+                key[go], kid[go] = np.where(end, np.inf, d), child
+                keys.append(key)
+                kids.append(kid)
+            if not keys:
+                break
+            key, kid = np.hstack(keys), np.hstack(kids)
+            take = np.argpartition(key, min(BEAM, key.shape[1]) - 1, axis=1)[:, :BEAM]
+            key, kid = np.take_along_axis(key, take, 1), np.take_along_axis(kid, take, 1)
+            way[:, level] = key.min(1)
+            beam = np.where(np.isfinite(key), kid, -1)
+            beam = beam[:, (beam >= 0).any(0)]
+            if not beam.shape[1]:
+                break
+        way[:, -1] = best if self.levels > 1 else 0
+        # where no inner node lies at a depth, the leaf stands for it
+        way = np.where(np.isfinite(way), way, way[:, -1:])
         return node, way
 
     def home(self, x: np.ndarray) -> np.ndarray:
@@ -148,17 +173,34 @@ class Tree:
         parts = [self.leaf_of[self.descend(x[i : i + PIECE])[0]] for i in range(0, len(x), PIECE)]
         return np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
 
-    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of the leaves each row takes from its queue, the nearest first."""
+    def visits(self, x: np.ndarray, widen: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the leaves each row takes from its queue, the nearest first; ``widen`` multiplies the margins."""
         rows, leaves = [], []
         for i in range(0, len(x), PIECE):
-            r, leaf = self._walk(x[i : i + PIECE].astype(np.float32))
+            r, leaf = self._walk(x[i : i + PIECE].astype(np.float32), widen)
             rows.append(r + i)
             leaves.append(leaf)
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(leaves)
 
+    def visits_enough(self, x: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`visits`, with wider margins for rows whose leaves hold fewer than ``least`` of the ``rows`` per leaf."""
+        row, leaf = self.visits(x)
+        least, widen = min(least, int(rows.sum())), 1.0
+        while True:
+            short = np.bincount(row, rows[leaf], minlength=len(x)) < least
+            if not short.any():
+                return row, leaf
+            widen *= 2
+            who = np.flatnonzero(short)
+            if widen > 1e6:  # every leaf
+                more, at = np.repeat(np.arange(len(who)), len(rows)), np.tile(np.arange(len(rows)), len(who))
+            else:
+                more, at = self.visits(x[who], widen)
+            keep = ~short[row]
+            row, leaf = np.concatenate([row[keep], who[more]]), np.concatenate([leaf[keep], at])
+
     def _keys(self, way: np.ndarray, nodes: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Distances over the query's own way down, in margins: what lies above 1 is not visited."""
         deep = self.depth[nodes]
@@ -166,7 +208,7 @@ class Tree:
         own = np.where(leaf, way[:, -1:], np.take_along_axis(way, deep, 1))
         return (d - own) / np.where(leaf, self.slack, self.inner[deep])
 
-    def _walk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _walk(self, x: np.ndarray, widen: float) -> tuple[np.ndarray, np.ndarray]:
         _, way = self.descend(x)
         if self.levels == 1:
             return np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -194,7 +236,7 @@ class Tree:
             node = queue_node[every, at]
             queue_key[every, at] = np.inf
             child, d = self._distances(x[live], node)
-            keys = self._keys(way[live], child, d)
+            keys = self._keys(way[live], child, d) / widen
             queue_key = np.hstack([queue_key, np.where(keys <= 1, keys, np.inf)])
             queue_node = np.hstack([queue_node, child])
             used = int(np.isfinite(queue_key).sum(1).max(initial=0))
@@ -377,16 +419,17 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
     sizes = {r["leaf"]: r["n"] for r in searched.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
     blocks, first_block, n_blocks = _pack(len(tree.node_of), sizes)
     parts = _parts(tree, sample, rate, blocks, first_block, n_blocks)
-    bb = spark.sparkContext.broadcast((first_block, n_blocks, parts))
+    held = np.array([sizes.get(i, 0) for i in range(len(tree.node_of))])
+    bb = spark.sparkContext.broadcast((first_block, n_blocks, parts, held))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (first_block, n_blocks, parts) = bc.value, bb.value
+        tree, (first_block, n_blocks, parts, held) = bc.value, bb.value
         for batch in batches:
             for i in range(0, batch.num_rows, PIECE):
                 piece = batch.slice(i, PIECE)
                 ids, leaf = piece.column(0).to_numpy(), piece.column(1).to_numpy()
                 v = np.frombuffer(b"".join(piece.column(3).to_pylist()), np.float32).reshape(-1, dim)
-                row, at = tree.visits(v)
+                row, at = tree.visits_enough(v, held, 2 * (k + 1))  # rows may be sent twice
                 # queries: one row per block they visit, with the leaves wanted there
                 times = n_blocks[at]
                 row, at = np.repeat(row, times), np.repeat(at, times)
@@ -463,7 +506,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, recal
                 continue
             sub = _subtree(v[own], k, recall)
             home = sub.home(v[own])
-            row, at = sub.visits(v[queries[who]])
+            row, at = sub.visits_enough(v[queries[who]], np.bincount(home, minlength=len(sub.node_of)), k + 1)
             for c in np.unique(at):
                 compare(who[row[at == c]], own[home == c])
         row, col = np.nonzero(best_sim[:, :k] > -2)
