@@ -16,7 +16,7 @@ def test_counts_are_exact(spark):
     df = corpus(spark)
     b = stuffing.Batch([r["text"] for r in df.collect()])
     want = sorted((k, int(c), int(n)) for k, x in ((0, b.word), (1, b.pair)) for c, n in zip(*(y.view(np.int64) for y in np.unique(x, return_counts=True))))
-    assert sorted(tuple(r) for r in stuffing.count_corpus(df.where("text is not null").select("text")).collect()) == want
+    assert sorted(tuple(r) for r in stuffing.count_corpus(stuffing.tokens(df.where("text is not null").toDF("id", "text"))).collect()) == want
 
 
 def test_rare_pairs_keep_their_counts_in_a_large_corpus():

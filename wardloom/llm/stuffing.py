@@ -1,13 +1,16 @@
 """Keyword-stuffed pages and link lists, told from sentences by word statistics of the corpus.
 
-Words, and pairs of neighbouring words, are counted exactly over all
-documents. A page is cut into blocks (lines; runs of short lines
-together). Per block two figures count: the mean normalised pointwise mutual
-information of its neighbouring words, taken from the other documents only,
-which is low where words follow each other without grammar; and the largest
-share of one word that is not common in the corpus, which is high where a
-collocation is repeated beyond any sentence. Links with their captions and
-hash tags are counted apart.
+Pages are cut into words once. Words, and pairs of neighbouring words, are
+counted exactly over all documents. A page is cut into blocks (lines; runs of
+short lines together). Per block two figures count: the mean normalised
+pointwise mutual information of its neighbouring words, taken from the other
+documents only, which is low where words follow each other without grammar;
+and the chance that two of its words are the same uncommon word (times the
+squared share of words that are no numbers), which is high where keywords are
+repeated beyond any sentence. One limit holds on the log of
+that chance less SLOPE times the information, so the looser the words fit, the
+less repetition is spam; a second one on the information alone finds word
+salad. Links with their captions and hash tags are counted apart.
 """
 
 from __future__ import annotations
@@ -31,15 +34,11 @@ SHORT = 16  # lines of fewer words join their neighbours in one block
 LEAST = 6  # words a block needs to be judged
 CAPTION = 6  # words that may belong to a link beside them
 PRODUCT = 3  # words beside a link up to which they are a product tag, counted with it, not a reference
-LISTED = 0.28  # separators per word of a line from which it is a list of terms
-# Limits on share (of the block's words) and mean NPMI, as read from distributions of ordinary blocks:
-STUFFED = 0.20  # share that no ordinary block reaches
-REPEATED, LOOSE = 0.13, 0.34  # share that counts where neighbours fit loosely
-LINE_REPEATED, LINE_LOOSE = 0.14, 0.42  # share that counts within one long line; NPMI below which REPEATED does
-PHRASE, PHRASE_LOOSE = 0.30, 0.46  # share of all words repeated about as often as the first, in one long line
-LISTED_LOOSE = 0.5  # NPMI below that of any listing within a sentence, where terms are listed and repeated
-SALAD = 0.20  # NPMI below that of lists of words
-WORDY, MOSTLY_WORDY = 0.8, 0.6  # least share of words that are no numbers or letters: tables of values fit loosely too
+REPEATS = 3  # times the most frequent uncommon word of a block must occur to be a keyword
+# Limits on blocks:
+SLOPE, REPEATED = 4.0, -5.1  # log of the chance of equal uncommon words, less SLOPE times the mean NPMI
+SALAD = 0.22  # mean NPMI below that of lists of words
+WORDY = 0.8  # least share of words that are no numbers or letters in word salad: tables of values fit loosely too
 
 _LINK = re.compile(
     r"<a\b[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\n]*\)?|https?://\S*|\bwww\.\S+"
@@ -47,7 +46,6 @@ _LINK = re.compile(
     re.I,
 )
 _MARKUP = re.compile(r"<(?!a\b|/a>)[^<>]*>")
-_SEPARATOR = re.compile(r"[,;|★•·]|\s[-–/]\s")
 _TOKEN = re.compile(r"#\w+|[^\W_]+(?:[_'’][^\W_]+)*")
 _codes: dict[str, int] = {}
 
@@ -62,11 +60,11 @@ def _code(word: str) -> int:
     return got
 
 
-def read(text: str) -> tuple[int, int, list[tuple[int, list[list[int]]]]]:
-    """(links with words of product captions, hash tags, blocks) of a page; a block: (separators, lines of word codes)."""
+def read(text: str) -> tuple[int, int, list[list[list[int]]]]:
+    """(links with words of product captions, hash tags, blocks) of a page; a block: lines of word codes."""
     text = _MARKUP.sub("", html.unescape(text)) if "<" in text or "&" in text else text
     links = tags = 0
-    blocks: list[tuple[int, list[list[int]]]] = []
+    blocks: list[list[list[int]]] = []
     joining = False
     for line in text.split("\n"):
         here = 0
@@ -89,12 +87,12 @@ def read(text: str) -> tuple[int, int, list[tuple[int, list[list[int]]]]]:
             continue
         if len(words) < SHORT:
             if joining:
-                blocks[-1][1].append(words)
+                blocks[-1].append(words)
             else:
-                blocks.append((0, [words]))
+                blocks.append([words])
             joining = True
         else:
-            blocks.append((len(_SEPARATOR.findall(line)), [words]))
+            blocks.append([words])
             joining = False
     return links, tags, blocks
 
@@ -104,31 +102,64 @@ class Batch:
 
     def __init__(self, texts: list[str | None]):
         pages = [read(t) if t else (0, 0, []) for t in texts]
-        self.pages = len(pages)
-        self.links = np.array([p[0] for p in pages], np.int64)
-        self.tags = np.array([p[1] for p in pages], np.int64)
-        flat, line, block, doc, at_line, at_block = [], [], [], [], 0, 0
-        long_line, cuts = [], []
-        for d, (_, _, blocks) in enumerate(pages):
-            for separators, b in blocks:
-                cuts.append(separators)
-                for words in b:
-                    flat.extend(words)
-                    line.append((at_line, len(words), at_block, d))
-                    at_line += 1
-                long_line.append(len(b) <= 2)
-                at_block += 1
-        n = np.array([x[1] for x in line], np.int64)
-        self.word = np.array(flat, np.int64).view(np.uint64)
-        self.line = np.repeat(np.arange(len(line)), n)
-        self.block = np.repeat(np.array([x[2] for x in line], np.int64), n)
-        self.doc = np.repeat(np.array([x[3] for x in line], np.int64), n)
-        self.blocks = at_block
-        self.few_lines, self.cuts = np.array(long_line, bool), np.array(cuts, np.int64)
+        lines = [[words for block in blocks for words in block] for _, _, blocks in pages]
+        self._lay(
+            np.array([p[0] for p in pages], np.int64),
+            np.array([p[1] for p in pages], np.int64),
+            np.array([w for page in lines for words in page for w in words], np.int64),
+            np.array([sum(map(len, page)) for page in lines], np.int64),
+            np.array([len(words) for page in lines for words in page], np.int64),
+            np.array([len(page) for page in lines], np.int64),
+            np.array([len(block) for _, _, blocks in pages for block in blocks], np.int64),
+            np.array([len(blocks) for _, _, blocks in pages], np.int64),
+        )
+
+    def _lay(self, links, tags, words, words_of, line_words, lines_of, block_lines, blocks_of) -> None:
+        self.pages, self.links, self.tags = len(links), links, tags
+        self.raw = (words, words_of, line_words, lines_of, block_lines, blocks_of)
+        self.word = words.view(np.uint64)
+        self.line = np.repeat(np.arange(len(line_words)), line_words)
+        self.blocks = len(block_lines)
+        self.block = np.repeat(np.repeat(np.arange(self.blocks), block_lines), line_words)
+        self.doc = np.repeat(np.arange(self.pages), words_of)
         pair = np.flatnonzero(self.line[1:] == self.line[:-1])
         self.left, self.right = pair, pair + 1
         self.pair = self.word[self.left] * np.uint64(0x9E3779B97F4A7C15) + self.word[self.right]
 
+    def stored(self, ids: pa.Array) -> pa.RecordBatch:
+        """Columns TOKENS."""
+        words, words_of, line_words, lines_of, block_lines, blocks_of = self.raw
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(x))
+            for x, n in ((words, words_of), (line_words.astype(np.int32), lines_of), (block_lines.astype(np.int32), blocks_of))
+        ]
+        return pa.record_batch([ids, pa.array(self.links), pa.array(self.tags), *lists], ["id", "links", "tags", "words", "lines", "blocks"])
+
+    @classmethod
+    def read_back(cls, record: pa.RecordBatch) -> Batch:
+        """From columns TOKENS."""
+        out = cls.__new__(cls)
+        flat = [(c.flatten().to_numpy().astype(np.int64), c.value_lengths().to_numpy().astype(np.int64)) for c in record.columns[3:6]]
+        out._lay(record.column(1).to_numpy(), record.column(2).to_numpy(), *(x for pair in flat for x in pair))
+        return out
+
+
+TOKENS = "id long, links long, tags long, words array<long>, lines array<int>, blocks array<int>"
+
+
+def tokens(texts: DataFrame) -> DataFrame:
+    """Columns TOKENS of ``texts(id, text)``: each page's words as codes, words per line, lines per block; pages without any are left out."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            for i in range(0, record.num_rows, 500):
+                piece = record.slice(i, 500)
+                b = Batch(piece.column(1).to_pylist())
+                some = pa.array(b.links + b.tags + b.raw[1] > 0)
+                yield b.stored(piece.column(0)).filter(some)
+
+    return texts.mapInArrow(cut, TOKENS)
+
 
 class Counts:
     """Exact counts of words (kind 0) and pairs (kind 1): sorted codes and their counts. A code that isn't listed counts once."""
@@ -153,35 +184,35 @@ def _pieces(columns: list[np.ndarray], names: list[str], size: int = 200_000) ->
         yield pa.record_batch([pa.array(c[i : i + size]) for c in columns], names)
 
 
-def count_corpus(texts: DataFrame) -> DataFrame:
-    """``(kind, code, n)``: how often each word and pair stands in column ``text``, added up per batch, per task, then in all."""
+def count_corpus(pages: DataFrame) -> DataFrame:
+    """``(kind, code, n)``: how often each word and pair stands in the pages (TOKENS), added up per batch, per task, then in all."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            b = Batch(record.column(0).to_pylist())
+            b = Batch.read_back(record)
             for kind, codes in ((0, b.word), (1, b.pair)):
                 code, n = np.unique(codes, return_counts=True)
                 yield from _pieces([np.full(len(code), kind, np.int32), code.view(np.int64), n.astype(np.int64)], ["kind", "code", "n"])
 
-    return texts.mapInArrow(tally, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    return pages.mapInArrow(tally, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """``texts(id, text)`` with ``known``: the counts of each text's own words and pairs, by joins, for tables no worker holds."""
+def with_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """``pages`` (TOKENS) with ``known``: the counts of each page's own words and pairs, by joins, for tables no worker holds."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            for i, text in enumerate(record.column(1).to_pylist()):
-                b = Batch([text])
+            for i in range(record.num_rows):
+                b = Batch.read_back(record.slice(i, 1))
                 for kind, found in ((0, b.word), (1, b.pair)):
                     code = np.unique(found).view(np.int64)
-                    page = np.full(len(code), record.column(0)[i].as_py(), np.int64)
+                    page = np.full(len(code), record.column(6)[i].as_py(), np.int64)
                     yield from _pieces([page, np.full(len(code), kind, np.int32), code], ["page", "kind", "code"])
 
-    pages = texts.withColumn("page", F.xxhash64("text"))
-    needed = pages.select("page", "text").dropDuplicates(["page"]).mapInArrow(codes, "page long, kind int, code long")
+    marked = pages.withColumn("page", F.xxhash64("words", "lines", "blocks"))
+    needed = marked.dropDuplicates(["page"]).mapInArrow(codes, "page long, kind int, code long")
     known = needed.join(counts, ["kind", "code"]).groupBy("page").agg(F.collect_list(F.struct("kind", "code", "n")).alias("known"))
-    return pages.join(known, "page", "left").select("id", "text", "known")
+    return marked.join(known, "page", "left").select(*pages.columns, "known")
 
 
 def judge(b: Batch, counts: Counts) -> pd.DataFrame:
@@ -210,24 +241,17 @@ def judge(b: Batch, counts: Counts) -> pd.DataFrame:
     at = b.block[b.left]
     m = np.bincount(at, minlength=b.blocks)
     mean = np.where(m > 0, np.bincount(at, npmi, minlength=b.blocks) / np.maximum(m, 1), 1.0)
-    # largest share of one uncommon word
-    top = np.zeros(b.blocks)
-    rare = (counts.count(0, b.word) < COMMON * total) & (b.word & np.uint64(1) == 1)
+    # keywords: the most frequent uncommon word, and the chance that two words of the block are the same uncommon one
+    naming = b.word & np.uint64(1) == 1
+    rare = (counts.count(0, b.word) < COMMON * total) & naming
     in_block = own(b.word, b.block)
+    top = np.zeros(b.blocks)
     np.maximum.at(top, b.block[rare], in_block[rare])
-    share = top / np.maximum(n, 1)
-    wordy = np.bincount(b.block, (b.word & np.uint64(1)).astype(float), minlength=b.blocks) / np.maximum(n, 1)
-    often = rare & (in_block >= np.maximum(5, 0.6 * top[b.block]))
-    phrase = np.bincount(b.block[often], minlength=b.blocks) / np.maximum(n, 1)
-    spam = (n >= LEAST) & (
-        ((share >= STUFFED) & (top >= 4))
-        | ((share >= REPEATED) & (top >= 4) & (mean < LOOSE) & (wordy >= MOSTLY_WORDY))
-        | ((share >= LINE_REPEATED) & (top >= 5) & b.few_lines)
-        | ((share >= REPEATED) & (top >= 5) & (mean < LINE_LOOSE) & b.few_lines)
-        | ((phrase >= PHRASE) & (share >= PHRASE / 4) & (mean < PHRASE_LOOSE) & b.few_lines)
-        | ((b.cuts >= LISTED * n) & (top >= 3) & (mean < LISTED_LOOSE))
-        | ((mean < SALAD) & (m >= LEAST) & (wordy >= WORDY))
-    )
+    equal = np.bincount(b.block, np.where(rare, in_block - 1, 0.0), minlength=b.blocks) / np.maximum(n * (n - 1), 1)
+    wordy = np.bincount(b.block, naming.astype(float), minlength=b.blocks) / np.maximum(n, 1)
+    equal = equal * wordy * wordy  # numbers and units repeat in tables of values
+    stuffed = (top >= REPEATS) & (np.log(np.maximum(equal, 1e-9)) - SLOPE * mean >= REPEATED)
+    spam = (n >= LEAST) & (stuffed | ((mean < SALAD) & (m >= LEAST) & (wordy >= WORDY)))
     fixed = b.links + b.tags
     return pd.DataFrame(
         {
@@ -248,13 +272,14 @@ def stuffed(documents: DataFrame, key: str, text: str, held: int = HELD) -> Data
     pages, fewer are sent to all workers; the results are the same.
     """
     texts = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    counts = materialize(count_corpus(texts.select("text")), "counts")
+    pages = materialize(tokens(texts), "tokens")
+    counts = materialize(count_corpus(pages), "counts")
     size, *sums = counts.agg(F.count("*"), *(F.sum(F.when(F.col("kind") == k, F.col("n"))) for k in (0, 1))).first()
     total = (sums[0] or 0, sums[1] or 0)
     out = "id long, words long, spam long, links long, tags long"
 
     def judged(record: pa.RecordBatch, known: Counts) -> pa.RecordBatch:
-        found = judge(Batch(record.column(1).to_pylist()), known)
+        found = judge(Batch.read_back(record), known)
         kept = np.flatnonzero(found["words"].to_numpy() > 0)
         part = found.iloc[kept]
         return pa.record_batch([record.column(0).take(pa.array(kept))] + [pa.array(part[c].to_numpy()) for c in part], ["id", *part.columns])
@@ -263,12 +288,12 @@ def stuffed(documents: DataFrame, key: str, text: str, held: int = HELD) -> Data
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for record in batches:
-                flat = record.column(2).flatten()
+                flat = record.column(6).flatten()
                 kind, code, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 _, at = np.unique(np.stack([kind.astype(np.int64), code]), axis=1, return_index=True)
                 yield judged(record, Counts(kind[at], code[at], n[at], total))
 
-        return with_counts(texts, counts).mapInArrow(run_joined, out)
+        return with_counts(pages, counts).mapInArrow(run_joined, out)
 
     table = counts.toArrow()  # at most ``held`` rows
     discard(counts)
@@ -279,4 +304,4 @@ def stuffed(documents: DataFrame, key: str, text: str, held: int = HELD) -> Data
         for record in batches:
             yield judged(record, shared.value)
 
-    return texts.mapInArrow(run, out)
+    return pages.mapInArrow(run, out)
