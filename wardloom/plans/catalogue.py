@@ -207,13 +207,15 @@ def q_companion_descriptions(spark, d):
 
 
 @query(
-    "SELECT c AS column_name, regexp_matches(lower(c), '" + "|".join(C.PHI_PARTS) + "') AS is_phi, "
-    "coalesce(regexp_matches(lower(c), '" + "|".join(C.CODE_PARTS) + "') OR (u > 10 AND u < n / 2.0), false) "
-    "AND lower(c) NOT IN (" + ", ".join(f"'{x}'" for x in C.NOT_CODES) + ") AND NOT (ends_with(lower(c), '_id') AND u > n / 2.0) AS is_code "
-    "FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS u, count(*) AS n FROM patients" for c in _PATIENT_COLUMNS) + ")"
+    "SELECT c AS column_name, regexp_matches(lower(c), 'name|dob|birth|ssn|social|address|street|city|zip|phone|email|mrn|patient_id|national_id|passport|license') AS is_phi, "
+    "(regexp_matches(lower(c), 'code|icd|snomed|loinc|rxnorm|ndc|cpt|drg|atc|diagnosis|procedure|drug|medication|lab|test') OR (t = 'VARCHAR' AND u > 10 AND u < n / 2.0)) "
+    "AND c <> 'patient_id' AND NOT (ends_with(lower(c), '_id') AND u > n * 0.3) AS is_code "
+    "FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, any_value(typeof({c})) AS t, count(DISTINCT {c}) AS u, count(*) AS n FROM patients" for c in _PATIENT_COLUMNS) + ")"
 )
 def q_column_classes(spark, d):
-    prof = R.profile(table(spark, d, "patients"), _PATIENT_COLUMNS)
+    patients = table(spark, d, "patients")
+    kinds = F.create_map(*(F.lit(x) for pair in patients.dtypes for x in pair))
+    prof = R.profile(patients, _PATIENT_COLUMNS).withColumn("data_type", kinds[F.col("column_name")])
     return C.code_columns(C.phi_columns(prof)).select("column_name", "is_phi", "is_code")
 
 
