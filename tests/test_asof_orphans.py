@@ -84,6 +84,18 @@ def test_orphan_kinds(spark):
     assert {r["kind"] for r in alone.collect()} == {"missing"} and alone.count() == 8
 
 
+def test_several_intervals_of_a_key(spark):
+    """A key deleted and received again is absent in between; overlaps and repeats change nothing."""
+    people = spark.createDataFrame(
+        [("a", T(5), T(10)), ("a", T(20), None), ("b", T(0), T(30)), ("b", T(5), T(10)), ("b", T(5), T(10)), ("b", T(5), T(20)), ("c", None, T(3)), ("c", T(3), T(4))],
+        "k string, r timestamp, d timestamp",
+    )
+    at = {1: ("a", 0, "late"), 2: ("a", 5, None), 3: ("a", 10, "deleted"), 4: ("a", 15, "deleted"), 5: ("a", 20, None), 6: ("b", 25, None), 7: ("b", 30, "deleted"), 8: ("c", 1, None), 9: ("c", 3, None), 10: ("c", 4, "deleted")}
+    refs = spark.createDataFrame([(i, k, T(h)) for i, (k, h, _) in at.items()] + [(11, "a", None)], "rid long, k string, at timestamp")
+    got = orphans.orphans(orphans.references(refs, "t", "rid", F.col("k"), "at"), orphans.parents(people, F.col("k"), "r", "d"))
+    assert rows(got, "record_id", "kind") == sorted(((i, kind) for i, (_, _, kind) in at.items() if kind), key=str)
+
+
 def test_hot_key_and_always_present(spark):
     refs = spark.range(3000).select(F.col("id").alias("rid"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.lit(T(0)).alias("at"))
     keys = orphans.merge_intervals(

@@ -205,11 +205,15 @@ refs AS (
   UNION ALL SELECT 'v', CAST(concept_id AS VARCHAR), received_at, deleted_at FROM concept
   UNION ALL SELECT 'e', CAST(concept_id AS VARCHAR), NULL, NULL FROM canonical_concept
 ), par AS (
-  SELECT side, k, min(coalesce(born, z)) AS born, max(coalesce(gone, t)) AS gone FROM raw, never WHERE k IS NOT NULL GROUP BY ALL
+  SELECT DISTINCT side, k, coalesce(born, z) AS born, coalesce(gone, t) AS gone FROM raw, never WHERE k IS NOT NULL
+), met AS (
+  SELECT refs.table_name, refs.record_id, refs.tm, count(born) AS n, bool_or(born <= tm) AS known, bool_or(born <= tm AND gone > tm) AS alive
+  FROM refs LEFT JOIN par USING (side, k) WHERE refs.k IS NOT NULL AND record_id IS NOT NULL
+  GROUP BY refs.side, refs.k, refs.table_name, refs.record_id, refs.tm
 ), found AS (
   SELECT DISTINCT table_name, record_id, strftime(tm, '%Y-%m') AS period,
-    CASE WHEN born IS NULL THEN 'missing' WHEN born > tm THEN 'late' WHEN gone <= tm THEN 'deleted' END AS kind
-  FROM refs LEFT JOIN par USING (side, k) WHERE refs.k IS NOT NULL AND record_id IS NOT NULL
+    CASE WHEN n = 0 THEN 'missing' WHEN tm IS NULL OR alive THEN NULL WHEN known THEN 'deleted' ELSE 'late' END AS kind
+  FROM met
 )
 """
 
