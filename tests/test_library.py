@@ -222,7 +222,8 @@ def test_profiles(spark):
     df = spark.createDataFrame([("Patient", "1", None, "M", ["a"]), ("Patient", "2", "N", None, None), ("Other", "3", None, None, None)], "resourceType string, id string, name string, gender string, tags array<string>")
     profile = {"type": "Patient", "required": ["name", "absent"], "invariants": {"i1": "tags.count() >= 1", "i2": "name.exists() and gender.exists()", "i3": "weird(x)"}}
     issues = profiles.validate(df, "id", profile)
-    assert rows(issues, "id", "path") == sorted([("1", "name"), ("1", "absent"), ("2", "absent"), ("2", "i1"), ("1", "i2"), ("2", "i2")])
+    assert rows(issues, "id", "path") == sorted([("1", "name"), ("1", "absent"), ("2", "absent"), ("2", "i1"), ("1", "i2"), ("2", "i2"), (None, "i3")], key=str)
+    assert {r["severity"] for r in issues.where("path = 'i3'").collect()} == {"information"}
     assert profiles.report(issues, df, "id").first()["passed"] is False
     assert profiles.validate(df, "id", {"type": "Patient", "url": "u", "required": ["name"]}).count() == 0
 
@@ -231,7 +232,12 @@ def test_columns(spark):
     prof = spark.createDataFrame([("dx_code", 100, 50), ("patient_id", 100, 100), ("zip_code", 100, 5), ("note", 100, 20)], "column_name string, row_count long, n_unique long")
     by = lambda v: {r["column_name"] for r in C.code_columns(prof, v).where("is_code").collect()}
     assert by("suffix") == {"dx_code"} and "patient_id" in by("names") and "patient_id" not in by("strict")
-    assert {r["column_name"] for r in C.phi_columns(prof).where("is_phi").collect()} == {"zip_code"}
+    assert {r["column_name"] for r in C.phi_columns(prof).where("is_phi").collect()} == {"patient_id", "zip_code"}
+    kinds = [("stage_id", 100, 5, "bigint"), ("icd_version", 100, 2, "int"), ("note", 100, 20, "string"), ("amount", 100, 20, "double"), ("ref_id", 100, 31, "string"), (None, None, None, None)]
+    typed = spark.createDataFrame(kinds, "column_name string, row_count long, n_unique long, data_type string")
+    by = lambda v: {r["column_name"] for r in C.code_columns(typed, v).where("is_code").collect()}
+    assert by("names") == {"stage_id", "icd_version", "note", "ref_id"} and by("strict") == {"note"}
+    assert {r["column_name"] for r in C.phi_columns(typed, with_age=True).where("is_phi").collect()} == {"stage_id"}
     assert C.column_metadata(spark.createDataFrame([("x",)], "a string")) == [{"name": "a", "type": "string", "samples": ["x"]}]
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 RESULT = "rule_id string, severity string, passed boolean, total_rows long, failed_count long"
 KINDS = ("range", "regex", "enum", "temporal_order", "fk_exists")
@@ -178,12 +179,15 @@ class Gate:
 
 
 def expectations(df: DataFrame, required: Iterable[str], codes: Iterable[str] = (), dates: Iterable[str] = ()) -> DataFrame:
-    """Rule rows with a category: columns that must exist, codes at least 0 (19 of 20), dates not null (9 of 10)."""
+    """Rule rows with a category: columns that must exist, codes at least 0 (19 of 20), dates not null (9 of 10).
+
+    Codes that are no numbers have no lower bound and give no row.
+    """
     present = dict(df.dtypes)
     spark = df.sparkSession
     exist = [(f"column_exists:{c}", "error", c in present, 1, int(c not in present), "completeness") for c in required]
     out = spark.createDataFrame(exist, RESULT + ", category string")
-    checks = [("code_not_negative", c, F.count(c), F.count_if(F.col(c) < 0), 0.95, "conformance") for c in codes if c in present]
+    checks = [("code_not_negative", c, F.count(c), F.count_if(F.col(c) < 0), 0.95, "conformance") for c in codes if isinstance(df.schema[c].dataType if c in present else None, NumericType)]
     checks += [("date_not_null", c, F.count("*"), F.count_if(F.col(c).isNull()), 0.90, "completeness") for c in dates if c in present]
     if checks:
         aggs = [a.alias(f"{n}{i}") for i, (_, _, t, f, _, _) in enumerate(checks) for a, n in ((t, "t"), (f, "f"))]

@@ -48,13 +48,15 @@ def map_column(df: DataFrame, source: str, mapping: Mapping | DataFrame, target:
 
     A dictionary of up to LITERAL_LOOKUP entries becomes a literal; a larger
     one, or a frame ``(key, value)``, a left join, broadcast by the planner
-    where it measures the side as small. Keys of a frame need not be unique:
-    the largest value counts.
+    where it measures the side as small. Keys of a dictionary that are equal
+    as text: the last counts, at any size. Keys of a frame, which has no
+    order, need not be unique: the largest value counts.
     """
     if isinstance(mapping, Mapping) and len(mapping) <= LITERAL_LOOKUP:
         return df.withColumn(target, lookup(mapping, F.col(source), default))
     if isinstance(mapping, Mapping):
-        mapping = df.sparkSession.createDataFrame([(str(k), v) for k, v in mapping.items()], ["key", "value"])
+        pairs = {str(k): v for k, v in mapping.items()}  # the last of equal keys wins, as in a literal
+        mapping = df.sparkSession.createDataFrame(list(pairs.items()), ["key", "value"])
     side = (
         mapping.select(F.col("key").cast("string").alias("_key"), F.col("value").alias("_value"))
         .where("_key is not null")

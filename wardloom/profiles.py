@@ -48,11 +48,12 @@ def parse(lines: DataFrame, standard: Standard, entity: str, column: str = "valu
 
 
 def validate(resources: DataFrame, key: str, profile: Mapping) -> DataFrame:
-    """``(key, path, severity, issue)``, one row per failure.
+    """``(key, path, severity, issue)``, one row per failure, and one of severity 'information' per unread invariant.
 
     ``profile``: ``type``, optional ``url`` (resources must claim it in
     ``meta.profile``), ``required`` fields, ``invariants`` {id: expression}.
-    Expressions beyond the subset are left out.
+    An invariant beyond the subset is no failure; where there are resources
+    it comes out once, with a null key.
     """
     columns = set(resources.columns)
     rows = resources
@@ -62,17 +63,25 @@ def validate(resources: DataFrame, key: str, profile: Mapping) -> DataFrame:
         rows = rows.where(F.exists("meta.profile", lambda p: F.contains(p, F.lit(profile["url"])))) if "meta" in columns else rows.where("false")
     issue = lambda path, text: F.struct(F.lit(path).alias("path"), F.lit("error").alias("severity"), F.lit(text).alias("issue"))
     found = [F.when(F.col(f).isNull(), issue(f, "required")) if f in columns else issue(f, "required") for f in profile.get("required", ())]
+    unread: list[str] = []
     for name, expression in profile.get("invariants", {}).items():
         holds = compile_path(expression, columns)
-        if holds is not None:
+        if holds is None:
+            unread.append(name)
+        else:
             found.append(F.when(~holds, issue(name, "invariant")))
     if not found:
         found = [F.when(F.lit(False), issue("", ""))]
-    return rows.select(F.col(key), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(key, "i.*")
+    out = rows.select(F.col(key), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(key, "i.*")
+    if unread:
+        told = [F.struct(F.lit(n).alias("path"), F.lit("information").alias("severity"), F.lit("invariant not read").alias("issue")) for n in unread]
+        note = rows.limit(1).select(F.lit(None).cast(dict(rows.dtypes)[key]).alias(key), F.explode(F.array(*told)).alias("i")).select(key, "i.*")
+        out = out.unionByName(note)
+    return out
 
 
 def report(issues: DataFrame, checked: DataFrame, key: str) -> DataFrame:
     """One row: resources checked, failures, whether no error was found."""
     n = checked.agg(F.count("*").alias("resources"))
-    e = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_distinct(key).alias("failing"))
+    e = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_distinct(F.when(F.col("severity") == "error", F.col(key))).alias("failing"))
     return n.crossJoin(e).withColumn("passed", F.col("errors") == 0)  # one row each
