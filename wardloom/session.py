@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,19 @@ def guard(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def interpreted(spark: SparkSession) -> Iterator[None]:
+    """Plans run inside are interpreted, not compiled: for many steps on small tables, where compiling costs more than running."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    try:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; every executor must see it.
 
