@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.session import discard, materialize
+from wardloom.session import discard, interpreted, materialize
 
 ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
 SUPPORT = 3  # different neighbours that show that words at an end of a name may be missing
@@ -131,6 +131,12 @@ def cores(canonical: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def reference_terms(canonical: DataFrame, synonyms: DataFrame, shortest: int = 4) -> tuple[DataFrame, DataFrame]:
+    """:func:`_reference_terms` by interpreted plans: the list is small beside the typed values."""
+    with interpreted(canonical.sparkSession):
+        return _reference_terms(canonical, synonyms, shortest)
+
+
+def _reference_terms(canonical: DataFrame, synonyms: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
     """Reference terms ``(term, kind, ident, cost, k, words)`` and keys ``(first, second, concept_id, w, shared)``.
 
     Kinds are 'first' and 'second' for the two parts of a key, 'pair' for whole
