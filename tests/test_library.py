@@ -291,3 +291,14 @@ def test_union_above_literal_columns_groups_once(spark):
     ranked = base.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     both = ranked.withColumn("l", F.lit("a")).unionByName(ranked.where("r < 5").withColumn("l", F.lit("b")))
     assert both.groupBy("k").count().count() == 50
+
+
+def test_project_cross_map_and_sql(spark, tmp_path):
+    project = Project(spark, str(tmp_path / "p"))
+    people = spark.createDataFrame([(1, 8507, 1980)], "person_id long, gender_concept_id long, year_of_birth int")
+    got = project.cross_map("omop_cdm_v5.4", "fhir_r4", "person", people)
+    assert got.first()["resourceType"] == "Patient"
+    assert project.cross_map("omop_cdm_v5.4", "fhir_r4", "no_such", people).columns == people.columns
+    runs = [project.load("runs", n) for n in project.list("runs")]
+    assert {(r["entity"], r["target_entity"]) for r in runs} == {("person", "Patient"), ("no_such", None)}
+    assert tabular.run_sql(spark, "SELECT person_id + 1 AS n FROM {people} WHERE gender_concept_id = 8507", people=people).first()["n"] == 2

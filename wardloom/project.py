@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardloom.operators.crossmap import cross_map
 from wardloom.sources.tabular import Catalog
+from wardloom.standards import crossmaps
 
 KINDS = ("sources", "mappings", "profiles", "reports", "runs")
 
@@ -55,3 +59,22 @@ class Project:
 
     def load_table(self, kind: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self._file(kind, name).removesuffix(".json") + ".parquet")
+
+    def cross_map(self, source: str, target: str, entity: str, data: DataFrame, path: str | None = None) -> DataFrame:
+        """``data`` (rows of ``entity``) in the target standard, lazily, with a record of the run under 'runs'.
+
+        ``path`` names a crossmap file in place of the built-in one. The record
+        tells the standards, both entities (the target null where the crossmap
+        has no such entity, which leaves the rows as they are) and the time;
+        counting the rows is left to the caller, as it would run the plan.
+        """
+        crossmap = crossmaps.load(source, target, path)
+        record = {
+            "source": source,
+            "target": target,
+            "entity": entity,
+            "target_entity": crossmap.entities.get(entity, (None, []))[0],
+            "at": datetime.now(timezone.utc).isoformat(),
+        }
+        self.save("runs", f"cross_map-{uuid.uuid4().hex}", record)
+        return cross_map(data, crossmap, entity)

@@ -77,6 +77,11 @@ def from_records(spark: SparkSession, records: Iterable[Mapping], schema: Struct
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], names, samplingRatio=1.0)
 
 
+def run_sql(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:
+    """The lazy result of a SQL query; ``frames`` stand in it as ``{name}``, without views in the session."""
+    return spark.sql(query, **frames)
+
+
 def write(df: DataFrame, path: str, format: str | None = None, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
     """Write as Parquet, CSV (with header), JSON or ORC."""
     kind = (format or format_of(path)).lower()
